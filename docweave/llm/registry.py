@@ -5,11 +5,13 @@ from __future__ import annotations
 from docweave.llm.avi import op4_avi_mjpeg
 from docweave.llm.linedup import OP8_SQL, op8_line_runs
 from docweave.llm.mixing import op6_subset_sum_mix
+from docweave.llm.pieces import op1_sentencepiece
 from docweave.llm.sharding import op5_lpt_shards
 from docweave.llm.simhash import op2_simhash_bk
 from docweave.llm.substrings import op9_bucket_refinement
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_bk": op2_simhash_bk,
     "op4_avi_mjpeg": op4_avi_mjpeg,
     "op5_lpt_shards": op5_lpt_shards,
