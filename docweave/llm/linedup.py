@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import row_key, shared_dir, table, written
+from docweave.llm.common import blocks, row_key, shared_dir, table, written
 
 MIN_LENGTH = 20
 MIN_DOCS = 3
 #: Batches that a table is taken in, and runs on a level before they are merged into one on the next.
 BATCHES = 4
 FANOUT = 3
+#: Bytes of text that are rebuilt together.
+BLOCK = 2 << 20
 
 SPACE = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,7 +103,7 @@ class LineRuns:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in blocks(whole, 1, BLOCK)):
         out = []
         for doc_id, text, drops in zip(*(c.to_pylist() for c in batch.columns)):
             text = text or ""
