@@ -9,6 +9,7 @@ from docweave.llm.pieces import op1_sentencepiece
 from docweave.llm.sharding import op5_lpt_shards
 from docweave.llm.simhash import op2_simhash_bk
 from docweave.llm.substrings import op9_bucket_refinement
+from docweave.llm.toxicity import op7_boosted_trees
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_avi_mjpeg": op4_avi_mjpeg,
     "op5_lpt_shards": op5_lpt_shards,
     "op6_subset_sum_mix": op6_subset_sum_mix,
+    "op7_boosted_trees": op7_boosted_trees,
     "op8_line_runs": op8_line_runs,
     "op9_bucket_refinement": op9_bucket_refinement,
 }
