@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import NULL_ID, row_key, table, written
+from docweave.llm.common import blocks, row_key, table, written
 
 LENGTH = 100
 #: Bytes of an anchor; the strings of one anchor start in a run of at most LENGTH - GRAM + 1 positions.
@@ -18,8 +18,11 @@ GRAM = 24
 #: Bytes of text that are looked at together, and the position bits that an anchor's order leaves room for.
 PIECE = 1 << 20
 _POS = 22
-#: Contexts of one anchor in one piece of text beyond which they go on as single strings, so that no task gets them all.
-HOT_CONTEXTS = 64
+#: Different contexts of an anchor, in one piece of text or in all, from which the anchor counts as hot: its strings are
+#: then spread one by one, so that no task gets them all.
+HOT_IN_PIECE, HOT_IN_ALL = 64, 4096
+#: Start positions that are compared together where the contexts of an anchor differ.
+STEP = 8
 #: Rows that are put in order together after the shuffle.
 ROWS = 400_000
 
@@ -28,10 +31,11 @@ _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = {n: np.uint64(int(x) * 2 + 1) for n, x in zip((1, 2, 4, 8, 16, 32, 64, 3, 5), _RNG.integers(0, 1 << 62, 9))}
 
-#: Kinds of rows that meet in a bucket.
-CONTEXT, STRING, MARK, GONE, ASK = 0, 1, 2, 3, 4
+#: Kinds of rows: runs of strings to compare, signs that an anchor is hot, runs that go, runs to look into.
+CONTEXT, MARK, GONE, ASK = 0, 1, 2, 3
 
 ROW = "kind byte, bucket long, inner long, id long, start long, more int"
+STRINGS = "bucket long, before long, after long, id long, start long, more int"
 
 
 def _refine(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
@@ -54,11 +58,11 @@ class Piece:
     def grams(self) -> np.ndarray:
         return _refine(self.b16[: -(GRAM - 16)], self.b16[GRAM - 16 :], 3)
 
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        """Bucket ids of the LENGTH bytes from each position, through those of 32 and 64 bytes."""
+    def strings(self, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+        """Bucket ids of the `length` (64 to 128) bytes from each position, through those of 32 and 64 bytes."""
         b32 = lambda p: _refine(self.b16[p], self.b16[p + 16], 16)
         b64 = lambda p: _refine(b32(p), b32(p + 32), 32)
-        return _mixed(_refine(b64(at), b64(at + LENGTH - 64), 64))
+        return _mixed(_refine(b64(at), b64(at + length - 64), 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,33 +123,19 @@ def _row_batch(kind, bucket, inner, ids, start, more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "inner", "id", "start", "more"])
 
 
-def _first_of_each(bucket, inner, ids, start):
-    """The order by (bucket, inner, id, start), a flag for the first row of each (bucket, inner), and each row's first's place."""
-    order = np.lexsort((start, ids, inner, bucket))
-    b, i = bucket[order], inner[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
-    return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
-
-
-def _string_rows(piece: Piece, ids: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, gram: np.ndarray, shift: np.ndarray):
-    """One row for each string of the runs: (bucket, inner, id, start, more), the bucket from anchor and offset."""
-    n = last - first + 1
-    which = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
-    bucket = _mixed(gram[which] + (anchor[which] - at).astype(np.uint64) * _ODD[5])
-    return bucket, piece.strings(at), ids[which], at - shift[which], np.zeros(len(at), np.int64)
-
+def _later(ids: np.ndarray, start: np.ndarray, *keys: np.ndarray):
+    """The rows in order of keys, id and start; flags for the first of each key; for those that start later than it.
 
-def _thinned(kind: int, bucket, inner, ids, start, more):
-    """The rows of which this task has no earlier copy, and GONE rows for the strings of the others."""
-    order, new, first = _first_of_each(bucket, inner, ids, start)
-    later = (ids[order] != ids[order][first]) | (start[order] != start[order][first])
-    keep, gone = order[new], order[~new & later]
-    batches = [_row_batch(np.full(len(keep), kind, np.int8), bucket[keep], inner[keep], ids[keep], start[keep], more[keep])]
-    if len(gone):
-        batches.append(_row_batch(np.full(len(gone), GONE, np.int8), _mixed(ids[gone].view(np.uint64)), inner[gone], ids[gone], start[gone], more[gone]))
-    return batches
+    keys come with the least important one first. A row at its first's own place isn't later.
+    """
+    order = np.lexsort((start, ids, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    return order, new, (ids[order] != ids[first]) | (start[order] != start[first])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,114 +143,173 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     bucket: the anchor's; inner: the refined bucket of all the bytes that the run's strings cover, with the anchor's
     place in them; start, more: the first start and how many more follow. Runs with the same bucket and inner hold the
-    same strings in the same order. Of those that meet within a piece only the first goes on. An anchor with very many
-    different contexts in one piece sends their strings one by one, spread over buckets of their own, and a MARK.
+    same strings in the same order. Of those that meet within a piece only the first goes on, the others are GONE. An
+    anchor with very many different contexts in one piece sends a MARK, and ASK rows instead, dealt by document.
     """
-    for batch in batches:
+    for batch in (part for whole in batches for part in blocks(whole, 1, 4 * PIECE)):
         texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.binary())]
         for held in _pieces(batch.column(0).to_pylist(), texts):
             parts = [np.frombuffer(d, np.uint8)[a : b + LENGTH - 1] for _, d, a, b in held]
             size = np.array([len(p) for p in parts], np.int64)
             begin = np.cumsum(size) - size
-            piece, who, first, last, anchor, gram = runs(np.concatenate(parts), begin, begin + size - LENGTH + 1)
+            piece, who, first, last, anchor, bucket = runs(np.concatenate(parts), begin, begin + size - LENGTH + 1)
             ids = np.array([h[0] for h in held], np.int64)[who]
-            shift = (begin - np.array([h[2] for h in held], np.int64))[who]
-            place = (anchor - first).astype(np.uint64) * np.uint64(128) + (last - first).astype(np.uint64)
+            start, more = first - (begin - np.array([h[2] for h in held], np.int64))[who], last - first
+            place = (anchor - first).astype(np.uint64) * np.uint64(128) + more.astype(np.uint64)
             inner = _mixed(piece.strings(first) * _ODD[4] + piece.strings(last) + place * _ODD[8])
-            start, more = first - shift, last - first
-            order, new, _ = _first_of_each(gram, inner, ids, start)
-            own = order[new]
-            _, inverse, n = np.unique(gram[own], return_inverse=True, return_counts=True)
-            hot = np.zeros(len(gram), bool)
-            if (n > HOT_CONTEXTS).any():
-                hot_grams = np.unique(gram[own][n[inverse] > HOT_CONTEXTS])
-                hot = np.isin(gram, hot_grams)
-                yield _row_batch(np.full(len(hot_grams), MARK, np.int8), hot_grams, np.zeros(len(hot_grams), np.uint64), np.full(len(hot_grams), NULL_ID), np.full(len(hot_grams), -1), np.zeros(len(hot_grams)))
-                rows = _string_rows(piece, *(x[hot] for x in (ids, first, last, anchor, gram, shift)))
-                yield from _thinned(STRING, *rows)
-            cold = ~hot
-            yield from _thinned(CONTEXT, *(x[cold] for x in (gram, inner, ids, start, more)))
+            order, new, later = _later(ids, start, inner, bucket)
+            kind = np.full(len(ids), -1, np.int8)
+            kind[order[new]] = CONTEXT
+            kind[order[later]] = GONE
+            anchors, n = np.unique(bucket[order[new]], return_counts=True)
+            hot = anchors[n > HOT_IN_PIECE]
+            if len(hot):
+                none = np.zeros(len(hot), np.int64)
+                yield _row_batch(np.full(len(hot), MARK, np.int8), hot, none, none, none - 1, none)
+                now = (kind == CONTEXT) & np.isin(bucket, hot)
+                kind[now], more[now] = ASK, more[now] + 128
+            away = kind >= ASK - 1
+            bucket[away] = _mixed(ids[away].view(np.uint64))
+            pick = kind >= 0
+            yield _row_batch(kind[pick], bucket[pick], inner[pick], ids[pick], start[pick], more[pick])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, some ROWS rows at a time, a bucket never cut."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= ROWS:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            whole = np.flatnonzero(cols[column] != cols[column][-1])  # the last bucket may go on
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield [c[:cut] for c in cols]
+            held, n = [[c[cut:] for c in cols]], 0
+    if held and sum(len(h[0]) for h in held):
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of a partition -> GONE rows for runs that are held earlier, ASK rows for runs to look into string by string.
+    """Sorted rows of a partition -> GONE rows for runs that are held earlier, ASK rows for runs to look into.
 
     In a bucket, runs with the same inner as an earlier one are gone whole. If runs of several kinds share the bucket,
-    the first of each kind may still share some of its strings with another kind; those are asked for. STRING rows that
-    are first of their kind go on as they are.
+    the first of each kind may still share some of its strings with another kind; those are asked for, with 128 added
+    to more if the anchor is hot.
     """
-    def solve(cols, end: bool):
-        kind, bucket, inner, ids, start, more = cols
-        cut = len(kind)
-        if not end:
-            whole = np.flatnonzero(bucket != bucket[-1])  # the last bucket may go on
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-        keep, cols = [c[cut:] for c in cols], [c[:cut] for c in cols]
-        kind, bucket, inner, ids, start, more = cols
-        if not cut:
-            return None, keep
-        new_bucket = np.ones(cut, bool)
+    for kind, bucket, inner, ids, start, more in _by_bucket(batches, 1):
+        n = len(kind)
+        new_bucket = np.ones(n, bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
         new = new_bucket.copy()
         new[1:] |= (inner[1:] != inner[:-1]) | (kind[1:] != kind[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((ids != ids[first]) | (start != start[first]))
         number = np.cumsum(new_bucket) - 1
-        kinds = np.bincount(number[new & (kind != GONE)], minlength=number[-1] + 1)
-        ask = new & (kind == CONTEXT) & (kinds[number] > 1)
-        out = np.full(cut, -1, np.int8)
-        out[later & ((kind == CONTEXT) | (kind == STRING))] = GONE
-        out[kind == GONE] = GONE
+        context = kind == CONTEXT
+        kinds = np.bincount(number[new & context], minlength=number[-1] + 1)
+        marked = np.bincount(number[kind == MARK], minlength=number[-1] + 1) > 0
+        ask = new & context & ((kinds > 1) | marked)[number]
+        out = np.full(n, -1, np.int8)
+        out[context & ((ids != ids[first]) | (start != start[first]))] = GONE
+        out[kind >= ASK - 1] = kind[kind >= ASK - 1]
         out[ask] = ASK
-        out[new & (kind == STRING)] = STRING
+        more = more + np.where(ask & ((kinds > HOT_IN_ALL) | marked)[number], 128, 0)
         pick = out >= 0
-        return _row_batch(out[pick], bucket[pick], inner[pick], ids[pick], start[pick], more[pick]), keep
-
-    def arrays(batch):
-        return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-
-    held, n = [], 0
-    for batch in batches:
-        held.append(arrays(batch))
-        n += batch.num_rows
-        if n >= ROWS:
-            out, rest = solve([np.concatenate(x) for x in zip(*held)], False)
-            held, n = [rest], 0
-            if out is not None:
-                yield out
-    if held and sum(len(h[0]) for h in held):
-        out, _ = solve([np.concatenate(x) for x in zip(*held)], True)
-        if out is not None:
-            yield out
+        yield _row_batch(out[pick], bucket[pick], inner[pick], ids[pick], start[pick], more[pick])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs asked for (start * 128 + more) -> a STRING row for each string of those runs."""
+    """Texts with the runs asked for (start * 256 + more) -> STRINGS rows."""
     for batch in batches:
         todo, size = [], 0
         for i, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             for x in sorted(asked):
-                start, more = x >> 7, x & 127
-                todo.append((i, start, data[start : start + more + LENGTH]))
+                start, hot, more = x >> 8, x >> 7 & 1, x & 127
+                todo.append((i, start, hot, data[start : start + more + LENGTH]))
                 size += more + LENGTH
-                if size > PIECE:
-                    yield from _asked_rows(todo)
+                if size > PIECE // 4:
+                    yield from _strings_of(todo)
                     todo, size = [], 0
         if todo:
-            yield from _asked_rows(todo)
+            yield from _strings_of(todo)
 
 
-def _asked_rows(todo):
-    size = np.array([len(d) for _, _, d in todo], np.int64)
+def _bytes(data: np.ndarray, at: np.ndarray, count: np.ndarray, way: int) -> np.ndarray:
+    """Up to 7 bytes next to each position, the nearest in the lowest place."""
+    out = np.zeros(len(at), np.int64)
+    for i in range(STEP - 1):
+        have = i < count
+        out[have] |= data[at[have] + way * i].astype(np.int64) << 8 * i
+    return out
+
+
+def _strings_of(todo) -> Iterator[pa.RecordBatch]:
+    """Runs -> rows for up to STEP neighbouring strings each, by their place before the anchor.
+
+    All of such a row's strings hold the LENGTH - STEP + 1 bytes from its first multiple-of-STEP place on: the bucket is
+    that core's. before and after are the bytes that some of them hold besides. more: 8 * the fewest bytes before the
+    core that a string of the row has + the most. start is where the string with the most begins. A hot anchor's
+    strings get rows and buckets of their own. Of equal rows only the first goes on; the others' strings are equal to
+    it one by one, and they are told by a row of bucket 0.
+    """
+    size = np.array([len(t[3]) for t in todo], np.int64)
     begin = np.cumsum(size) - size
-    piece, who, first, last, anchor, gram = runs(np.concatenate([d for _, _, d in todo]), begin, begin + size - LENGTH + 1)
-    ids, start = (np.array([t[k] for t in todo], np.int64)[who] for k in (0, 1))
-    yield from _thinned(STRING, *_string_rows(piece, ids, first, last, anchor, gram, begin[who] - start))
+    data = np.concatenate([t[3] for t in todo])
+    piece, who, first, last, anchor, gram = runs(data, begin, begin + size - LENGTH + 1)
+    ids, start, hot = (np.array([t[k] for t in todo], np.int64)[who] for k in (0, 1, 2))
+    shift = begin[who] - start
+    low, high = anchor - last, anchor - first
+    step = np.where(hot > 0, 1, STEP)
+    n = high // step - low // step + 1
+    row = np.repeat(np.arange(len(n)), n)
+    part = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (low // step)[row]) * step[row]
+    block = part // STEP * STEP
+    fewest, most = np.maximum(part, low[row]) - block, np.minimum(part + step[row] - 1, high[row]) - block
+    core = anchor[row] - block
+    before = _bytes(data, core - 1, most, -1)
+    after = _bytes(data, core + LENGTH - STEP + 1, STEP - 1 - fewest, 1)
+    bucket = _mixed(piece.strings(core, LENGTH - STEP + 1) + gram[row] + block.astype(np.uint64) * _ODD[5])
+    single = (hot > 0)[row]
+    own = _mixed(_mixed(bucket + before.view(np.uint64) * _ODD[3]) + after.view(np.uint64) * _ODD[5] + most.astype(np.uint64))
+    bucket = np.where(single, own, bucket) | np.uint64(1)
+    more, begins = 8 * fewest + most, core - most - shift[row]
+    order, new, later = _later(ids[row], begins, more, after, before, bucket)
+    for rows, keep in ((order[new], True), (order[later], False)):
+        at = bucket[rows].view(np.int64) if keep else np.zeros(len(rows), np.int64)
+        cols = [at, before[rows], after[rows], ids[row][rows], begins[rows]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(more[rows], pa.int32())], ["bucket", "before", "after", "id", "start", "more"])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STRINGS rows sorted by bucket -> id, start, more of runs of strings that are held earlier."""
+
+    def out(ids, start, more):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(more, pa.int32())], ["id", "start", "more"])
+
+    for bucket, before, after, ids, start, more in _by_bucket(batches, 0):
+        fewest, most = more >> 3, more & 7
+        told = bucket == 0
+        if told.any():
+            yield out(ids[told], start[told], (most - fewest)[told])
+        edge = np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))
+        shared = ~told & ~(edge[:-1] & edge[1:])  # a bucket of one row has nothing to compare
+        bucket, before, after, ids, start, fewest, most = (x[shared] for x in (bucket, before, after, ids, start, fewest, most))
+        n = (most - fewest + 1).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        back = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        k = most[row] - back
+        left = before[row] & ((np.int64(1) << 8 * k.astype(np.int64)) - 1)
+        right = after[row] & ((np.int64(1) << 8 * (STEP - 1 - k.astype(np.int64))) - 1)
+        ids, start = ids[row], start[row] + back
+        order, _, later = _later(ids, start, right, left, k, bucket[row])
+        gone = order[later]
+        yield out(ids[gone], start[gone], np.zeros(len(gone), np.int32))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in blocks(whole, 1, 2 * PIECE)):
         out = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
             data = text.as_py() or b""
@@ -289,22 +338,23 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     Suffixes are sampled: a string belongs to the bucket of its anchor, its least GRAM-byte substring, so equal strings
     share a bucket, and strings that start side by side mostly share it too and go as one row. Buckets are refined by
     the buckets of later offsets, 16, 32, 64 and LENGTH bytes, each built from the one before. Rows that agree after
-    refining are the same strings; only where a bucket holds several kinds of run (the edges of copies) single strings
-    are compared. Bucket ids are 64-bit hashes; two runs or strings count as equal if both their anchors' ids and
-    their refined ids agree, 128 bits in all. No bucket is limited in size: rows that repeat are dropped before the
-    shuffle, and anchors with very many contexts are spread by string.
+    refining hold the same strings. Only where a bucket holds several kinds of run (the edges of copies) it is refined
+    again, by what a few neighbouring strings have in common, and those are compared byte by byte at their ends. Bucket
+    ids are 64-bit hashes; runs count as equal if their anchors' ids and their refined ids agree, 128 bits in all,
+    strings if their cores' ids and the bytes around do. No bucket is limited in size: rows that repeat are dropped
+    before the shuffle, and the strings of anchors with very many contexts are spread one by one.
     """
     texts = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ["bucket", "inner", "kind", "id", "start"]
-    rows = texts.select("id", "text").mapInArrow(_contexts, ROW).repartition("bucket").sortWithinPartitions(*order)
-    found = written(rows.mapInArrow(_buckets, ROW), "substring-runs")
+    rows = texts.select("id", "text").mapInArrow(_contexts, ROW).repartition("bucket").sortWithinPartitions("bucket", "inner", "kind", "id", "start")
+    found = written(rows.mapInArrow(_buckets, ROW).where(F.col("kind") >= GONE).drop("bucket", "inner"), "substring-runs")
     dealt = texts.repartition("id")
-    packed = F.collect_list(F.col("start") * 128 + F.col("more"))
-    asks = found.where(F.col("kind") == ASK).groupBy("id").agg(packed.alias("asked"))
-    strings = dealt.join(asks, "id").select("id", "text", "asked").mapInArrow(_asked, ROW)
-    strings = strings.unionByName(found.where(F.col("kind") == STRING)).repartition("bucket").sortWithinPartitions(*order)
-    gone = strings.mapInArrow(_buckets, ROW).where(F.col("kind") == GONE).unionByName(found.where(F.col("kind") == GONE))
-    spans = gone.groupBy("id").agg(packed.alias("spans"))
+    asks = found.where(F.col("kind") == ASK).groupBy("id").agg(F.collect_list(F.col("start") * 256 + F.col("more")).alias("asked"))
+    strings = dealt.join(asks, "id").select("id", "text", "asked").mapInArrow(_asked, STRINGS)
+    dealt_to = F.when(F.col("bucket") == 0, F.xxhash64("id")).otherwise(F.col("bucket"))
+    strings = strings.withColumn("to", dealt_to).repartition("to").sortWithinPartitions("bucket").drop("to")
+    gone = strings.mapInArrow(_repeats, "id long, start long, more int")
+    gone = gone.unionByName(found.where(F.col("kind") == GONE).drop("kind"))
+    spans = gone.groupBy("id").agg(F.collect_list(F.col("start") * 128 + F.col("more")).alias("spans"))
     met = dealt.join(spans, "id", "left").select("doc_id", "text", "spans")
     return met.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
