@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docweave.llm.avi import op4_avi_mjpeg
+from docweave.llm.langid import op10_byte_bigru
 from docweave.llm.linedup import OP8_SQL, op8_line_runs
 from docweave.llm.mixing import op6_subset_sum_mix
 from docweave.llm.pieces import op1_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_boosted_trees": op7_boosted_trees,
     "op8_line_runs": op8_line_runs,
     "op9_bucket_refinement": op9_bucket_refinement,
+    "op10_byte_bigru": op10_byte_bigru,
 }
 
 ORACLES = {
