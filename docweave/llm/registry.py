@@ -6,6 +6,7 @@ from docweave.llm.avi import op4_avi_mjpeg
 from docweave.llm.langid import op10_byte_bigru
 from docweave.llm.linedup import OP8_SQL, op8_line_runs
 from docweave.llm.mixing import op6_subset_sum_mix
+from docweave.llm.neighbours import op3_kmeans_tree
 from docweave.llm.pieces import op1_sentencepiece
 from docweave.llm.sharding import op5_lpt_shards
 from docweave.llm.simhash import op2_simhash_bk
@@ -15,6 +16,7 @@ from docweave.llm.toxicity import op7_boosted_trees
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_bk": op2_simhash_bk,
+    "op3_kmeans_tree": op3_kmeans_tree,
     "op4_avi_mjpeg": op4_avi_mjpeg,
     "op5_lpt_shards": op5_lpt_shards,
     "op6_subset_sum_mix": op6_subset_sum_mix,
