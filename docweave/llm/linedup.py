@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.llm.common import blocks, row_key, shared_dir, table, written
 
@@ -102,28 +103,26 @@ class LineRuns:
         return json.dumps({"fanout": self.fanout, "levels": self.levels})
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in blocks(whole, 1, BLOCK)):
-        out = []
-        for doc_id, text, drops in zip(*(c.to_pylist() for c in batch.columns)):
-            text = text or ""
-            lines, dropped = None, 0
-            if drops:
-                gone, lines = set(drops), text.split("\n")
-                keep = [x for x in lines if hashlib.md5(x.strip(SPACE).translate(_LOW).encode()).digest() not in gone]
-                dropped, n = len(lines) - len(keep), len(lines)
-                text = "\n".join(keep)
-            else:
-                n = text.count("\n") + 1
-            out.append((doc_id, n, dropped, text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-            ["doc_id", "n_lines", "n_dropped", "kept"],
-        )
-
-
-def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """Per row of docs: doc_id, n_lines, n_dropped, kept (the text that stays).
+def _rebuild(schema: T.StructType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
+            out = []
+            for text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text or ""
+                n, dropped = text.count("\n") + 1, 0
+                if drops:
+                    gone, lines = set(drops), text.split("\n")
+                    keep = [x for x in lines if hashlib.md5(x.strip(SPACE).translate(_LOW).encode()).digest() not in gone]
+                    dropped, text = n - len(keep), "\n".join(keep)
+                out.append((n, dropped, text))
+            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], [f.name for f in schema])
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of docs: the columns to keep, n_lines, n_dropped, kept (the text that stays).
 
     A line whose key has at least min_length code points and is found in at least min_docs documents goes from every
     document but the one of the largest doc_id that holds it, where all its copies stay. A null or empty text is one
@@ -141,14 +140,16 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = M
         runs.add(keys.where(F.col("batch") == i).select("id", "key"))
     common = written(runs.rows().where(F.col("docs") >= min_docs).select("key", "last"), "line-common")
     drops = keys.select("id", "key").join(common, "key").where("id < last").groupBy("id").agg(F.collect_list("key").alias("drops"))
-    texts = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = texts.join(drops, "id", "left").select("doc_id", "text", "drops")
-    return met.mapInArrow(_rebuild, "doc_id long, n_lines long, n_dropped long, kept string")
+    texts = docs.select(row_key().alias("__id"), F.col("text").cast("string").alias("__text"), *keep)
+    met = texts.join(drops.withColumnRenamed("id", "__id"), "__id", "left").select("__text", "drops", *keep)
+    made = T.StructType.fromDDL("n_lines long, n_dropped long, kept string")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in met.select(*keep).schema] + list(made))
+    return met.mapInArrow(_rebuild(schema), schema)
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("doc_id").cast("long"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""

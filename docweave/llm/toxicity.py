@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.llm.common import blocks, table
 
@@ -258,25 +259,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     return ToxicityModel(lexicon, Trees().fit(x, y), knots, heights, float(y.mean()))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Per row of docs: doc_id, score.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of docs: the columns to keep, and score.
 
     Only the text is looked at; null, empty and blank texts are scored by features that are all 0. Null and repeated
     doc_ids are kept. An empty table gives an empty result. Nothing is shuffled; the model's size is bounded by the
     number of trees and of learned words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.select(*keep)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in held.schema), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in (part for whole in batches for part in blocks(whole, 1, BLOCK)):
-            x = np.array([features(t, own.lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(x), pa.float64())], ["doc_id", "score"])
+        for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
+            x = np.array([features(t, own.lexicon) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(x), pa.float64())], [f.name for f in schema])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    out = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("doc_id", F.col("doc_id").cast("long"))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
