@@ -18,11 +18,13 @@ from docweave.llm.common import table, written
 NEIGHBOURS = 20
 EVERY = 20
 #: Vectors the tree is grown on, at most (those of the smallest hash of vec_id); children of a node; vectors of a leaf.
-SAMPLE, BRANCH, LEAF = 20_000, 8, 64
+SAMPLE, BRANCH, LEAF = 20_000, 8, 512
 #: Queries the search is calibrated on, and the recall that it must reach on the sample.
 CALIBRATE, RECALL = 200, 0.97
 #: Vectors and queries of a leaf that one task looks at together.
-BLOCK, QUERY_BLOCK = 50_000, 20_000
+BLOCK, QUERY_BLOCK = 20_000, 20_000
+#: Queries whose scores, and pairs whose exact scores, are held at once.
+STEP, ROWS = 128, 50_000
 SEED = 11
 
 
@@ -174,22 +176,23 @@ def _routed(tree: KMeansTree):
 def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of x for each query, itself left out: largest inner product first, ties to the smaller id."""
     out = []
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    for at in range(0, len(queries), 256):
-        scores = queries[at : at + 256] @ x.T
-        for i, row in enumerate(scores):
-            q, own = queries[at + i], query_ids[at + i]
-            if len(row) > k + 1:
-                edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                pick = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
-            else:
-                pick = np.arange(len(row))
-            pick = pick[ids[pick] != own]
-            # summed row by row: equal vectors get equal scores wherever they stand
-            exact = (x[pick] * q).sum(axis=1)
-            best = np.lexsort((ids[pick], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(best), own), "vec_id": ids[pick][best], "score": exact[best]}))
+    for at in range(0, len(queries), STEP):
+        q, own = queries[at : at + STEP], query_ids[at : at + STEP]
+        scores = q @ x.T
+        if len(x) > k + 1:
+            edge = np.partition(scores, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+            row, col = np.nonzero(scores >= (edge - 1e-9 * np.maximum(1.0, np.abs(edge)))[:, None])
+        else:
+            row, col = (c.ravel() for c in np.indices(scores.shape))
+        other = ids[col] != own[row]
+        row, col = row[other], col[other]
+        # summed row by row: equal vectors get equal scores wherever they stand
+        exact = np.concatenate([(x[col[i : i + ROWS]] * q[row[i : i + ROWS]]).sum(axis=1) for i in range(0, max(len(row), 1), ROWS)])
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, row, "left")
+        best = np.arange(len(row)) - first < k
+        out.append(pd.DataFrame({"query_id": own[row[best]], "vec_id": ids[col[best]], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
