@@ -54,12 +54,13 @@ def _signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], ["id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """id (a null doc_id as the smallest long), fp (the fingerprint's 64 bits as a signed long): one row for each of docs."""
-    return docs.select(row_key().alias("id"), F.col("text").cast("string")).mapInArrow(_fingerprints, "id long, fp long")
+    """id (a null doc_id as the smallest long), fp (the fingerprint's 64 bits as a signed long), text_hash: one row for each of docs."""
+    rows = docs.select(row_key().alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "id long, fp long, text_hash long")
 
 
 class BKForest:
@@ -177,7 +178,7 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int | Non
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id.
+    """Per row of docs: doc_id, fp, component_id, text_hash (XXH64 of the text, by which rows of one doc_id are told apart).
 
     Fingerprints link at RADIUS or fewer differing bits; component_id is the smallest doc_id that can be reached, the
     row's own included. Null, empty and blank texts have fingerprint 0 and link like any other. Rows of equal doc_id are
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("fp", "component")
     plain = lambda c: F.nullif(F.col(c), F.lit(-(1 << 63)))
-    return rows.join(named, "fp").select(plain("id").alias("doc_id"), "fp", plain("component").alias("component_id"))
+    return rows.join(named, "fp").select(plain("id").alias("doc_id"), "fp", plain("component").alias("component_id"), "text_hash")
 
 
 def op2_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:

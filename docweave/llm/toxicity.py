@@ -80,12 +80,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     insults = sum(words[i] in lexicon.insults for i in hits)
     weights = [lexicon.learned[words[i]] for i in hits if words[i] in lexicon.learned]
     kinds = data.translate(_KIND)
-    masked = kinds.count(b"a1a") + kinds.count(b"a.a.a")
+    masked = sum(kinds.count(x) for x in (b"a1a", b"a11a", b"a.a.a"))
     unmasked = 0
-    if masked:
+    if masked or b"1a" in kinds:
         for w in data.lower().split():
             kind = w.translate(_KIND)
-            if b"a1a" in kind or b"a.a.a" in kind:
+            if b"1a" in kind or b"a.a.a" in kind:
                 plain = w.translate(_UNMASK).translate(None, b".*_-#%&,;:\"'()")
                 unmasked += plain in lexicon.all
     near = 0
