@@ -33,11 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; of rows of one doc_id the least row."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key().alias("__id")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).join(kept, "__id", "left_semi")
+    """One document of each group of near duplicates, that of the smallest doc_id; of equal ids in a group the least row."""
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(row_key().alias("__id"), "text_hash").distinct()
+    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
     least = F.min(F.struct("doc_id", "text", "lang", "source", "n_chars"))
-    return rows.groupBy("__id").agg(least.alias("r")).select("r.*")
+    return rows.join(kept, ["__id", "text_hash"], "left_semi").groupBy("__id").agg(least.alias("r")).select("r.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
