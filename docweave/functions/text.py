@@ -118,16 +118,17 @@ def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = ""
     qw, qg = query_words(query), query_grams(query)
     if not qw:
         return docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    by = local or []
+    by, columns = local or [], docs.columns
     docs = docs.withColumn("__w", words(F.col("search_primary"))).withColumn("__g", grams(F.col("__w")))
     surfaces = {"w": F.col("__w"), "g": F.col("__g")}
     if secondary:
         docs = docs.withColumn("__sw", words(F.flatten(F.transform(F.col("search_secondary"), lambda e: e["text"])))).withColumn("__sg", grams(F.col("__sw")))
         surfaces |= {"sw": F.col("__sw"), "sg": F.col("__sg")}
     terms = list(dict.fromkeys(qw + qg))
-    stats = term_stats(docs, surfaces, terms, by)
+    if not by:
+        docs, by = docs.withColumn("__all", F.lit(0)), ["__all"]
     # one row, or one for each searched type: both are settled by the request, not by the data
-    met = docs.crossJoin(F.broadcast(stats)) if not by else docs.join(F.broadcast(stats), by)
+    met = docs.join(F.broadcast(term_stats(docs, surfaces, terms, by)), by)
 
     def part(tokens: Column, name: str, picked: list[str]) -> Column:
         return bm25(tokens, picked, F.col("n"), F.col(f"mean_{name}"), [F.col(f"df_{name}_{terms.index(t)}") for t in picked])
@@ -153,4 +154,4 @@ def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = ""
         mean = F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(found), F.lit(1))
         score, hit = score + F.when(second, mean).otherwise(0.0), hit | second
     met = met.where(F.coalesce(hit, F.lit(False))).withColumn("score", F.round(score, digits))
-    return met.select(*[c for c in docs.columns if not c.startswith("__")], "score")
+    return met.select(*columns, "score")

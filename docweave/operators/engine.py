@@ -142,6 +142,8 @@ class Engine:
         live = due.where(~F.col("tombstone"))
         answers = None
         for v in wanted:
+            if self.store.mapping(name, v.number) is None:
+                self.store.put_mapping(name, v.number, document_schema(v))
             docs = denorm.documents(self.config, self.sources, name, v.number, live.select("id"), self.blocks.get(name))
             exists = F.col("found")
             if (name, v.number) in self.keep:

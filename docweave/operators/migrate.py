@@ -79,10 +79,8 @@ def cutover_readiness(engine: Engine, resource: str, target: int, accept_gap: tu
 
 def live_diff(engine: Engine, resource: str, version: int) -> DataFrame:
     """How the configured schema of a version differs from its index; an index that isn't there lacks everything."""
-    live = engine.store.schema(resource, version)
+    live = engine.store.mapping(resource, version)
     wanted = document_schema(engine.config.resource(resource).version(version))
-    if live is not None:
-        live = type(live)([f for f in live.fields if f.name != "id"])
     return schema_diff(engine.spark, wanted, live if live is not None else type(wanted)([]))
 
 

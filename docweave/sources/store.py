@@ -137,15 +137,20 @@ class DocumentStore:
     def exists(self, resource: str, version: int) -> bool:
         return self.log(resource, version).manifest()["schema"] is not None
 
-    def schema(self, resource: str, version: int) -> T.StructType | None:
-        found = self.documents(resource, version)
-        return None if found is None else found.schema
+    def mapping(self, resource: str, version: int) -> T.StructType | None:
+        """The schema that an index was made for, field types included; None where it was never put."""
+        found = files.read_json(self.spark, f"{self.root}/mappings/{index_name(resource, version)}.json", None)
+        return None if found is None else T.StructType.fromJson(found)
+
+    def put_mapping(self, resource: str, version: int, schema: T.StructType) -> None:
+        files.write_json(self.spark, f"{self.root}/mappings/{index_name(resource, version)}.json", json.loads(schema.json()))
 
     def indices(self) -> list[str]:
         return [n for n in files.listing(self.spark, f"{self.root}/indices") if parse_index(n)]
 
     def drop(self, index: str) -> None:
         files.remove(self.spark, f"{self.root}/indices/{index}")
+        files.remove(self.spark, f"{self.root}/mappings/{index}.json")
 
     # aliases
 
