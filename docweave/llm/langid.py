@@ -21,7 +21,7 @@ HIDDEN = 16
 SPAN = 24
 EPOCHS, BATCH, RATE = 3, 512, 0.01
 SEED = 7
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 ROWS = 4096
 UNKNOWN = "und"
 

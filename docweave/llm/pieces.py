@@ -24,8 +24,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text that are split together, and bytes of different words that go through the trie together.
-TEXT_BLOCK = 12 << 20
-WORD_BLOCK = 1 << 18
+TEXT_BLOCK = 4 << 20
+WORD_BLOCK = 1 << 17
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
