@@ -46,62 +46,91 @@ def query_grams(query: str) -> list[str]:
     return list(dict.fromkeys(w[i : i + n] for w in query_words(query) for n in GRAMS for i in range(len(w) - n + 1)))
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+# Searching works on the surface as one lower-case string: a gram is a substring (of letters and digits only, so it never
+# goes over a word's end), a word is one with neither letter nor digit on either side. No token array is made.
 
+_IN, _TWO, _THREE = r"[\p{L}\p{N}]+", r"(?=[\p{L}\p{N}]{2})", r"(?=[\p{L}\p{N}]{3})"
 
-def whole_word(tokens: Column, found_grams: Column, query: str) -> Column:
+
+def surface(texts: Column) -> Column:
+    """An array of texts as one string; the line break between them is in no word."""
+    return F.lower(F.coalesce(F.array_join(texts, "\n"), F.lit("")))
+
+
+def _bounded(word: str) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"
+
+
+def has_word(t: Column, word: str) -> Column:
+    return t.contains(word) & t.rlike(_bounded(word))
+
+
+def count_word(t: Column, word: str) -> Column:
+    return F.when(t.contains(word), F.regexp_count(t, F.lit(_bounded(word)))).otherwise(0).cast("double")
+
+
+def count_gram(t: Column, gram: str) -> Column:
+    """How often a gram is there, overlaps included."""
+    return F.when(t.contains(gram), F.regexp_count(t, F.lit(f"(?={gram})"))).otherwise(0).cast("double")
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _short(query: str) -> list[str]:
+    """Query words that are grams themselves."""
+    return [w for w in query_words(query) if len(w) in GRAMS]
+
+
+def whole_word(t: Column, query: str) -> Column:
     """Any query word is a word of the text, or is itself one of its grams."""
-    q = _literals(query_words(query))
-    return F.arrays_overlap(tokens, q) | F.arrays_overlap(found_grams, q)
+    return _any([has_word(t, w) for w in query_words(query)] + [t.contains(w) for w in _short(query)])
 
 
-def infix(found_grams: Column, query: str) -> Column:
+def infix(t: Column, query: str) -> Column:
     """All grams of the query are there; a query without grams matches nothing."""
     q = query_grams(query)
-    return (F.size(F.array_except(_literals(q), found_grams)) == 0) if q else F.lit(False)
+    return reduce(lambda a, b: a & b, [t.contains(g) for g in q]) if q else F.lit(False)
 
 
-def matches(texts: Column, query: str) -> Column:
+def matches(t: Column, query: str) -> Column:
     """A surface matches by a whole word or as a substring (of which all grams must be there)."""
-    tokens = words(texts)
-    found = grams(tokens)
-    return F.coalesce(whole_word(tokens, found, query) | infix(found, query), F.lit(False))
-
-
-def secondary_matches(entries: Column, query: str, scope: str = "") -> Column:
-    """Some entry matches and, where a scope is given, belongs to it."""
+    return whole_word(t, query) | infix(t, query)
 
-    def one(e: Column) -> Column:
-        test = matches(e["text"], query)
-        return test & F.coalesce(F.array_contains(e["scope"], scope), F.lit(False)) if scope else test
 
-    return F.coalesce(F.exists(entries, one), F.lit(False))
+def entry_matches(e: Column, query: str, scope: str = "") -> Column:
+    """A secondary entry matches and, where a scope is given, belongs to it."""
+    test = matches(surface(e["text"]), query)
+    return test & F.coalesce(F.array_contains(e["scope"], scope), F.lit(False)) if scope else test
 
 
-def _count(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term)).cast("double")
+def _stats(name: str, t: Column, qw: list[str], qg: list[str]) -> list[Column]:
+    """Aggregates over documents: mean lengths in words and grams, and in how many of them each term is."""
+    found = [
+        F.avg(F.regexp_count(t, F.lit(_IN)).cast("double")).alias(f"mean_{name}w"),
+        F.avg((F.regexp_count(t, F.lit(_TWO)) + F.regexp_count(t, F.lit(_THREE))).cast("double")).alias(f"mean_{name}g"),
+    ]
+    found += [F.count_if(has_word(t, w)).alias(f"df_{name}w_{i}") for i, w in enumerate(qw)]
+    return found + [F.count_if(t.contains(g)).alias(f"df_{name}g_{i}") for i, g in enumerate(qg)]
 
 
-def term_stats(docs: DataFrame, tokens: dict[str, Column], terms: list[str], by: list[str]) -> DataFrame:
-    """A row for each of `by` (one in all without): how many documents, each surface's mean length, each term's documents."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, c in tokens.items():
-        aggs.append(F.avg(F.size(c).cast("double")).alias(f"mean_{name}"))
-        aggs += [F.sum(F.array_contains(c, t).cast("long")).alias(f"df_{name}_{i}") for i, t in enumerate(terms)]
-    return docs.groupBy(*by).agg(*aggs)
+def _bm25(counts: list[Column], size: Column, mean: Column, n: Column, df: list[Column]) -> Column:
+    """Sum over the terms of idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length)), Robertson and Zaragoza 2009."""
+    norm = K1 * (1 - B + B * size.cast("double") / F.greatest(mean, F.lit(1e-9)))
+    parts = [F.when(tf > 0, F.log(1 + (n - have + 0.5) / (have + 0.5)) * tf * (K1 + 1) / (tf + norm)).otherwise(0.0) for tf, have in zip(counts, df)]
+    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
-def bm25(tokens: Column, terms: list[str], n: Column, mean: Column, df: list[Column]) -> Column:
-    """Sum over the terms of idf * tf / (tf + k1 (1 - b + b length / mean length)), Robertson and Zaragoza 2009."""
-    size = F.size(tokens).cast("double")
-    norm = K1 * (1 - B + B * size / F.greatest(mean, F.lit(1e-9)))
-    parts = []
-    for t, have in zip(terms, df):
-        tf = _count(tokens, t)
-        idf = F.log(1 + (n - have + 0.5) / (have + 0.5))
-        parts.append(F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0))
-    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+def _clauses(t: Column, name: str, query: str, boosts: tuple[float, float]) -> Column:
+    """The better of whole words and of words that are grams, and the query's grams if all are there."""
+    qw, qg, short = query_words(query), query_grams(query), _short(query)
+    df = lambda kind, terms, of: [F.col(f"df_{name}{kind}_{of.index(x)}") for x in terms]
+    n, words_, grams_ = F.col("n"), F.regexp_count(t, F.lit(_IN)), F.regexp_count(t, F.lit(_TWO)) + F.regexp_count(t, F.lit(_THREE))
+    by_words = _bm25([count_word(t, w) for w in qw], words_, F.col(f"mean_{name}w"), n, df("w", qw, qw))
+    by_short = _bm25([count_gram(t, w) for w in short], grams_, F.col(f"mean_{name}g"), n, df("g", short, qg))
+    by_grams = _bm25([count_gram(t, g) for g in qg], grams_, F.col(f"mean_{name}g"), n, df("g", qg, qg))
+    return F.greatest(boosts[0] * by_words, boosts[1] * by_short) + F.when(infix(t, query), by_grams).otherwise(0.0)
 
 
 def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = "", local: list[str] | None = None, digits: int = 6) -> DataFrame:
@@ -118,40 +147,28 @@ def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = ""
     qw, qg = query_words(query), query_grams(query)
     if not qw:
         return docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    by, columns = local or [], docs.columns
-    docs = docs.withColumn("__w", words(F.col("search_primary"))).withColumn("__g", grams(F.col("__w")))
-    surfaces = {"w": F.col("__w"), "g": F.col("__g")}
+    by, columns = local or ["__all"], docs.columns
+    docs = docs.withColumn("__t", surface(F.col("search_primary")))
+    if not local:
+        docs = docs.withColumn("__all", F.lit(0))
+    aggs = [F.count(F.lit(1)).alias("n"), *_stats("p", F.col("__t"), qw, qg)]
     if secondary:
-        docs = docs.withColumn("__sw", words(F.flatten(F.transform(F.col("search_secondary"), lambda e: e["text"])))).withColumn("__sg", grams(F.col("__sw")))
-        surfaces |= {"sw": F.col("__sw"), "sg": F.col("__sg")}
-    terms = list(dict.fromkeys(qw + qg))
-    if not by:
-        docs, by = docs.withColumn("__all", F.lit(0)), ["__all"]
+        # all entries of a document are one text for statistics
+        whole = surface(F.flatten(F.transform(F.col("search_secondary"), lambda e: e["text"])))
+        docs = docs.withColumn("__s", whole)
+        aggs += _stats("s", F.col("__s"), qw, qg)
     # one row, or one for each searched type: both are settled by the request, not by the data
-    met = docs.join(F.broadcast(term_stats(docs, surfaces, terms, by)), by)
-
-    def part(tokens: Column, name: str, picked: list[str]) -> Column:
-        return bm25(tokens, picked, F.col("n"), F.col(f"mean_{name}"), [F.col(f"df_{name}_{terms.index(t)}") for t in picked])
-
-    def clause(tokens: Column, found: Column, w: str, g: str, boosts: tuple[float, float]) -> Column:
-        best = F.greatest(boosts[0] * part(tokens, w, qw), boosts[1] * part(found, g, qw))
-        return best + F.when(infix(found, query), part(found, g, qg)).otherwise(0.0)
-
-    hit = whole_word(F.col("__w"), F.col("__g"), query) | infix(F.col("__g"), query)
-    score = F.when(hit, clause(F.col("__w"), F.col("__g"), "w", "g", PRIMARY_BOOSTS)).otherwise(0.0)
+    stats = F.broadcast(docs.groupBy(*by).agg(*aggs))
+    hit = matches(F.col("__t"), query)
+    entries = F.filter(F.col("search_secondary"), lambda e: entry_matches(e, query, scope)) if secondary else None
     if secondary:
-        second = secondary_matches(F.col("search_secondary"), query, scope)
-
-        def entry_score(e: Column) -> Column:
-            tokens = words(e["text"])
-            return clause(tokens, grams(tokens), "sw", "sg", SECONDARY_BOOSTS)
-
-        def entry_hit(e: Column) -> Column:
-            test = matches(e["text"], query)
-            return test & F.coalesce(F.array_contains(e["scope"], scope), F.lit(False)) if scope else test
-
-        found = F.transform(F.filter(F.col("search_secondary"), entry_hit), entry_score)
-        mean = F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(found), F.lit(1))
-        score, hit = score + F.when(second, mean).otherwise(0.0), hit | second
-    met = met.where(F.coalesce(hit, F.lit(False))).withColumn("score", F.round(score, digits))
-    return met.select(*columns, "score")
+        docs = docs.withColumn("__e", F.when(matches(F.col("__s"), query), entries))
+        any_entry = F.coalesce(F.size("__e"), F.lit(-1)) > 0
+    else:
+        any_entry = F.lit(False)
+    met = docs.withColumn("__p", hit).where(F.col("__p") | any_entry).join(stats, by)
+    score = F.when(F.col("__p"), _clauses(F.col("__t"), "p", query, PRIMARY_BOOSTS)).otherwise(0.0)
+    if secondary:
+        each = F.transform("__e", lambda e: _clauses(surface(e["text"]), "s", query, SECONDARY_BOOSTS))
+        score = score + F.when(any_entry, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size("__e")).otherwise(0.0)
+    return met.withColumn("score", F.round(score, digits)).select(*columns, "score")

@@ -68,11 +68,9 @@ def legs(searcher: Searcher, request: FederatedRequest) -> DataFrame:
     parts = []
     for name in request.resources:
         own = [*request.filters, *request.resource_filters.get(name, ())]
-        docs = searcher.docs(name)
-        kept = searcher.filtered(name, own, request.scope).select("id")
-        shown = docs.select(F.lit(name).alias("resource"), F.lit(index_alias(name)).alias("index"), "id", "search_primary", "search_secondary", F.to_json(F.struct("fields")).alias("source"))
-        seen = kept.withColumn("seen", F.lit(True))
-        parts.append(shown.join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False))))
+        docs = searcher.judged(name, own, request.scope)
+        source = [F.to_json(F.struct("fields")).alias("source")] if request.include_source else []
+        parts.append(docs.select(F.lit(name).alias("resource"), F.lit(index_alias(name)).alias("index"), "id", "search_primary", "search_secondary", "seen", *source))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +95,10 @@ class Searcher:
         docs = self.filtered(request.resource, list(request.filters), request.scope)
         return text.scored(docs, request.query)
 
-    def filtered(self, resource: str, filters: list[Filter], scope: str = "") -> DataFrame:
-        """Documents that pass all filters; those on references have become semi-joins."""
-        version, docs = self.version(resource), self.docs(resource)
-        routed: dict[str, list[Filter]] = {}
-        own = []
+    def route(self, resource: str, filters: list[Filter]) -> tuple[list[Filter], dict[str, list[Filter]]]:
+        """Filters on the documents themselves, and, for each reference, those on its child's root fields."""
+        version = self.version(resource)
+        own, routed = [], {}
         for f in filters:
             head, _, name = f.field.partition(".")
             relation = version.relation(head)
@@ -108,12 +108,28 @@ class Searcher:
                 routed.setdefault(head, []).append(replace(f, field=f"fields.{name}", nested_path=""))
             else:
                 own.append(f)
+        return own, routed
+
+    def filtered(self, resource: str, filters: list[Filter], scope: str = "") -> DataFrame:
+        """Documents that pass all filters; those on references have become semi-joins."""
+        version, docs = self.version(resource), self.docs(resource)
+        own, routed = self.route(resource, filters)
         for test in predicates.all_of(own, version, docs.schema, scope):
             docs = docs.where(test)
         for name, child_filters in routed.items():
             docs = self._semi_join(docs, version, name, child_filters, scope)
         return docs
 
+    def judged(self, resource: str, filters: list[Filter], scope: str = "") -> DataFrame:
+        """All documents, with a column seen: whether they pass all filters. Only filters on references need a join."""
+        own, routed = self.route(resource, filters)
+        docs = self.docs(resource)
+        if routed:
+            kept = self.filtered(resource, filters, scope).select("id", F.lit(True).alias("seen"))
+            return docs.join(kept, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+        tests = predicates.all_of(own, self.version(resource), docs.schema, scope)
+        return docs.withColumn("seen", F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False)))
+
     def _semi_join(self, docs: DataFrame, version: Version, name: str, filters: list[Filter], scope: str) -> DataFrame:
         """Documents whose key is the join key of a child that passes all filters at once; the caller's scope goes along.
 
