@@ -9,7 +9,7 @@ from docweave.llm.pieces import Pieces
 from tests.llm.conftest import ODD, docs_of
 from tests.llm.test_linedup import brute as brute_lines
 from tests.llm.test_mixing import brute_targets
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import brute_similar
 from tests.llm.test_toxicity import LABELS, corpus
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     rows, labels = [(i + 120, *r) for i, *r in rows], [(i + 120, *r) for i, *r in labels]
     shared = "\na line that very many documents of this corpus hold"
     rows = [(i, t + (shared if i % 5 == 0 else ""), lang, f"s{i % 4}") for i, t, lang, _ in rows]
-    rows += [(1000 + i, rows[i][1], "en", "copies") for i in range(1, 60)] + [(i, *r) for i, *r in ODD]
+    rows += [(1000 + i, rows[i][1], "en", "copies") for i in range(1, 60)] + [(2000 + i, rows[i][1] + " more", "en", "copies") for i in range(1, 60)] + [(i, *r) for i, *r in ODD]
     docs_of(spark, rows).write.parquet(f"{sf_dir}/documents.parquet")
     spark.createDataFrame(labels, LABELS).write.parquet(f"{sf_dir}/labels.parquet")
     return sf_dir
@@ -54,7 +54,7 @@ def test_each_stage_against_brute_force(spark, tables):
     held = rows_of(lines)
     ids = sorted({r[0] if r[0] is not None else -(1 << 63) for r in held})
     one = {i: next(r for r in held if (r[0] if r[0] is not None else -(1 << 63)) == i) for i in ids}
-    label = brute_components([brute_print(one[i][1]) for i in ids])
+    label = brute_similar([one[i][1] for i in ids])
     least = sorted({label[j] for j in range(len(ids))})
     assert sorted(r[0] if r[0] is not None else -(1 << 63) for r in rows_of(near)) == [ids[j] for j in least]
 
