@@ -13,7 +13,7 @@ from docweave.llm.common import row_key, table, written
 from docweave.llm.linedup import dedup_lines
 from docweave.llm.mixing import mix
 from docweave.llm.pieces import Pieces, piece_counts
-from docweave.llm.simhash import near_duplicates
+from docweave.llm.similar import similar_documents
 from docweave.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,12 +33,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; of equal ids in a group the least row."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(row_key().alias("__id"), "text_hash").distinct()
-    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    least = F.min(F.struct("doc_id", "text", "lang", "source", "n_chars"))
-    return rows.join(kept, ["__id", "text_hash"], "left_semi").groupBy("__id").agg(least.alias("r")).select("r.*")
+    """One document of each group of near duplicates (five words, similarity 0.8), that of the smallest doc_id.
+
+    Of several rows of that id in the group the least one stays.
+    """
+    found = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(row_key().alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).join(kept, "__id")
+    rows = rows.where(F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return rows.groupBy("__id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
