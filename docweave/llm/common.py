@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that one task ranks at most, on average, when a class of rows is numbered.
@@ -30,6 +31,17 @@ def blocks(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         at = to
 
 
+def with_text(df: DataFrame, keep: tuple[str, ...], more: list) -> tuple[DataFrame, int]:
+    """The columns to keep, then `more`, then the text unless it is a string column that is kept; and where the text is.
+
+    So a text goes to a Python worker once, whether it is kept or not.
+    """
+    kept = df.select(*keep)
+    if "text" in keep and kept.schema["text"].dataType == T.StringType():
+        return df.select(*keep, *more), keep.index("text")
+    return df.select(*keep, *more, F.col("text").cast("string").alias("__text")), len(keep) + len(more)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import blocks, row_key, shared_dir, table, written
+from docweave.llm.common import blocks, row_key, shared_dir, table, with_text, written
 
 MIN_LENGTH = 20
 MIN_DOCS = 3
@@ -103,11 +103,13 @@ class LineRuns:
         return json.dumps({"fanout": self.fanout, "levels": self.levels})
 
 
-def _rebuild(schema: T.StructType):
+def _rebuild(schema: T.StructType, kept: int, text_at: int):
+    """Batches of the columns to keep, the digests to drop, and the text at text_at -> those kept, counts, and the new text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
+        for batch in (part for whole in batches for part in blocks(whole, text_at, BLOCK)):
             out = []
-            for text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, drops in zip(batch.column(text_at).to_pylist(), batch.column(kept).to_pylist()):
                 text = text or ""
                 n, dropped = text.count("\n") + 1, 0
                 if drops:
@@ -116,7 +118,7 @@ def _rebuild(schema: T.StructType):
                     dropped, text = n - len(keep), "\n".join(keep)
                 out.append((n, dropped, text))
             made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], [f.name for f in schema])
 
     return run
 
@@ -140,11 +142,12 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = M
         runs.add(keys.where(F.col("batch") == i).select("id", "key"))
     common = written(runs.rows().where(F.col("docs") >= min_docs).select("key", "last"), "line-common")
     drops = keys.select("id", "key").join(common, "key").where("id < last").groupBy("id").agg(F.collect_list("key").alias("drops"))
-    texts = docs.select(row_key().alias("__id"), F.col("text").cast("string").alias("__text"), *keep)
-    met = texts.join(drops.withColumnRenamed("id", "__id"), "__id", "left").select("__text", "drops", *keep)
+    gone = drops.withColumnsRenamed({"id": "__id", "drops": "__drops"})
+    own = docs.select(*dict.fromkeys([*keep, "text"]), row_key().alias("__id"))
+    met, text_at = with_text(own.join(gone, "__id", "left"), keep, [F.col("__drops")])
     made = T.StructType.fromDDL("n_lines long, n_dropped long, kept string")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in met.select(*keep).schema] + list(made))
-    return met.mapInArrow(_rebuild(schema), schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in met.schema.fields[: len(keep)]] + list(made))
+    return met.mapInArrow(_rebuild(schema, len(keep), text_at), schema)
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import blocks, table
+from docweave.llm.common import blocks, table, with_text
 
 #: Labelled documents that a model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -267,16 +267,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     number of trees and of learned words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select(*keep)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in held.schema), T.StructField("score", T.DoubleType())])
+    rows, at = with_text(docs, keep, [])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[: len(keep)]), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
-            x = np.array([features(t, own.lexicon) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(x), pa.float64())], [f.name for f in schema])
+        for batch in (part for whole in batches for part in blocks(whole, at, BLOCK)):
+            x = np.array([features(t, own.lexicon) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own.scores(x), pa.float64())], [f.name for f in schema])
 
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size string, batch int, fp string, score string, `rank` string, `__id` string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size string, batch int, fp string, score string, `rank` string, `__id` string, `__drops` string, n string"
 
 
 def docs_of(spark, rows, extra: bool = True):
     """documents with columns besides that have names like those that operators use inside."""
-    full = [(i, t, lang, source, len(t) if t is not None else None, 1, "k", "s", 7, "f", "x", "r", "i", "n") for i, t, lang, source in rows]
+    full = [(i, t, lang, source, len(t) if t is not None else None, 1, "k", "s", 7, "f", "x", "r", "i", "d", "n") for i, t, lang, source in rows]
     df = spark.createDataFrame(full, SCHEMA)
     return df if extra else df.select("doc_id", "text", "lang", "source", "n_chars")
 
