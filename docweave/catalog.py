@@ -423,7 +423,7 @@ def _scored_sql(rows: str, query_: str, local: bool, limit: int | None) -> str:
     score = f"greatest(9.0 * {_bm25_sql('w', qw, 's')}, 3.0 * {_bm25_sql('g', qw, 's')}) + CASE WHEN list_has_all(g, {_list(qg)}) THEN {_bm25_sql('g', qg, 's')} ELSE 0.0 END"
     sql = (
         f"WITH a AS ({_analysed_sql(rows)}), s AS (SELECT {by} AS k, count(*) AS n, avg(len(w)) AS mean_w, avg(len(g)) AS mean_g, {df('w')} AS df_w, {df('g')} AS df_g FROM a GROUP BY k) "
-        f"SELECT resource, id, round({score}, 4) AS score FROM a JOIN s ON s.k = {by} WHERE {_match_sql('w', 'g', query_)}"
+        f"SELECT resource, id, round(round({score}, 6), 4) AS score FROM a JOIN s ON s.k = {by} WHERE {_match_sql('w', 'g', query_)}"
     )
     return sql + (f" ORDER BY score DESC, resource, id LIMIT {limit}" if limit else "")
 

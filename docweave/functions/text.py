@@ -46,32 +46,50 @@ def query_grams(query: str) -> list[str]:
     return list(dict.fromkeys(w[i : i + n] for w in query_words(query) for n in GRAMS for i in range(len(w) - n + 1)))
 
 
-# Searching works on the surface as one lower-case string: a gram is a substring (of letters and digits only, so it never
-# goes over a word's end), a word is one with neither letter nor digit on either side. No token array is made.
+# Searching works on the surface as one string of lower-case words with two spaces between and one at either end. A gram is a
+# substring then (it has no space, so it never goes over a word's end), a word is one with its two spaces, and both are
+# counted by what replacing them takes away. No token array is made.
 
-_IN, _TWO, _THREE = r"[\p{L}\p{N}]+", r"(?=[\p{L}\p{N}]{2})", r"(?=[\p{L}\p{N}]{3})"
+_SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def surface(texts: Column) -> Column:
-    """An array of texts as one string; the line break between them is in no word."""
-    return F.lower(F.coalesce(F.array_join(texts, "\n"), F.lit("")))
+    """An array of texts as one string of its words."""
+    joined = F.lower(F.coalesce(F.array_join(texts, "\n"), F.lit("")))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(joined, _SEPARATORS, "  ")), F.lit(" "))
 
 
-def _bounded(word: str) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"
+def _letters(t: Column) -> Column:
+    return F.length(F.replace(t, F.lit(" "), F.lit("")))
+
+
+def word_total(t: Column) -> Column:
+    """How many words a surface has."""
+    return F.when(t != "  ", (F.length(t) - _letters(t)) / 2).otherwise(0.0)
+
+
+def gram_total(t: Column) -> Column:
+    """How many grams it has: n - 1 and n - 2 for a word of n > 1 characters."""
+    return 2.0 * _letters(t) - 3.0 * word_total(t) + F.regexp_count(t, F.lit(" [^ ] "))
 
 
 def has_word(t: Column, word: str) -> Column:
-    return t.contains(word) & t.rlike(_bounded(word))
+    return t.contains(f" {word} ")
+
+
+def _occurrences(t: Column, part: str) -> Column:
+    """Occurrences that don't overlap."""
+    return (F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)
 
 
 def count_word(t: Column, word: str) -> Column:
-    return F.when(t.contains(word), F.regexp_count(t, F.lit(_bounded(word)))).otherwise(0).cast("double")
+    return F.when(has_word(t, word), _occurrences(t, f" {word} ")).otherwise(0.0)
 
 
 def count_gram(t: Column, gram: str) -> Column:
-    """How often a gram is there, overlaps included."""
-    return F.when(t.contains(gram), F.regexp_count(t, F.lit(f"(?={gram})"))).otherwise(0).cast("double")
+    """How often a gram is there; only one that ends as it begins can overlap itself."""
+    found = _occurrences(t, gram) if gram[0] != gram[-1] else F.regexp_count(t, F.lit(f"(?={gram})")).cast("double")
+    return F.when(t.contains(gram), found).otherwise(0.0)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -85,7 +103,7 @@ def _short(query: str) -> list[str]:
 
 def whole_word(t: Column, query: str) -> Column:
     """Any query word is a word of the text, or is itself one of its grams."""
-    return _any([has_word(t, w) for w in query_words(query)] + [t.contains(w) for w in _short(query)])
+    return _any([has_word(t, w) for w in query_words(query) if len(w) not in GRAMS] + [t.contains(w) for w in _short(query)])
 
 
 def infix(t: Column, query: str) -> Column:
@@ -107,30 +125,37 @@ def entry_matches(e: Column, query: str, scope: str = "") -> Column:
 
 def _stats(name: str, t: Column, qw: list[str], qg: list[str]) -> list[Column]:
     """Aggregates over documents: mean lengths in words and grams, and in how many of them each term is."""
-    found = [
-        F.avg(F.regexp_count(t, F.lit(_IN)).cast("double")).alias(f"mean_{name}w"),
-        F.avg((F.regexp_count(t, F.lit(_TWO)) + F.regexp_count(t, F.lit(_THREE))).cast("double")).alias(f"mean_{name}g"),
-    ]
-    found += [F.count_if(has_word(t, w)).alias(f"df_{name}w_{i}") for i, w in enumerate(qw)]
-    return found + [F.count_if(t.contains(g)).alias(f"df_{name}g_{i}") for i, g in enumerate(qg)]
+    return [
+        F.avg(word_total(t)).alias(f"mean_{name}w"), F.avg(gram_total(t)).alias(f"mean_{name}g"),
+        F.array(*[F.count_if(has_word(t, w)).cast("double") for w in qw]).alias(f"df_{name}w"),
+        (F.array(*[F.count_if(t.contains(g)).cast("double") for g in qg]) if qg else F.array().cast("array<double>")).alias(f"df_{name}g"),
+    ]
 
 
-def _bm25(counts: list[Column], size: Column, mean: Column, n: Column, df: list[Column]) -> Column:
+def _bm25(counts: Column, size: Column, mean: Column, n: Column, df: Column) -> Column:
     """Sum over the terms of idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length)), Robertson and Zaragoza 2009."""
-    norm = K1 * (1 - B + B * size.cast("double") / F.greatest(mean, F.lit(1e-9)))
-    parts = [F.when(tf > 0, F.log(1 + (n - have + 0.5) / (have + 0.5)) * tf * (K1 + 1) / (tf + norm)).otherwise(0.0) for tf, have in zip(counts, df)]
-    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    norm = K1 * (1 - B + B * size / F.greatest(mean, F.lit(1e-9)))
+    part = lambda tf, have: F.when(tf > 0, F.log(1 + (n - have + 0.5) / (have + 0.5)) * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
+    return F.aggregate(F.zip_with(counts, df, part), F.lit(0.0), lambda a, x: a + x)
+
+
+def _counts(t: Column, query: str) -> Column:
+    """What scoring needs of a surface: its lengths, and how often each query word and gram is there."""
+    qw, qg = query_words(query), query_grams(query)
+    grams_ = F.array(*[count_gram(t, g) for g in qg]) if qg else F.array().cast("array<double>")
+    return F.struct(word_total(t).alias("words"), gram_total(t).alias("grams"), F.array(*[count_word(t, w) for w in qw]).alias("w"), grams_.alias("g"))
 
 
-def _clauses(t: Column, name: str, query: str, boosts: tuple[float, float]) -> Column:
-    """The better of whole words and of words that are grams, and the query's grams if all are there."""
-    qw, qg, short = query_words(query), query_grams(query), _short(query)
-    df = lambda kind, terms, of: [F.col(f"df_{name}{kind}_{of.index(x)}") for x in terms]
-    n, words_, grams_ = F.col("n"), F.regexp_count(t, F.lit(_IN)), F.regexp_count(t, F.lit(_TWO)) + F.regexp_count(t, F.lit(_THREE))
-    by_words = _bm25([count_word(t, w) for w in qw], words_, F.col(f"mean_{name}w"), n, df("w", qw, qw))
-    by_short = _bm25([count_gram(t, w) for w in short], grams_, F.col(f"mean_{name}g"), n, df("g", short, qg))
-    by_grams = _bm25([count_gram(t, g) for g in qg], grams_, F.col(f"mean_{name}g"), n, df("g", qg, qg))
-    return F.greatest(boosts[0] * by_words, boosts[1] * by_short) + F.when(infix(t, query), by_grams).otherwise(0.0)
+def _clauses(c: Column, name: str, query: str, boosts: tuple[float, float]) -> Column:
+    """The better of whole words and of words that are grams, and the query's grams if all are there (c: see _counts)."""
+    qg = query_grams(query)
+    short = [i for i, g in enumerate(qg) if g in _short(query)]
+    pick = lambda array: F.array(*[array[i] for i in short]) if short else F.array().cast("array<double>")
+    n, mean_g, df_g = F.col("n"), F.col(f"mean_{name}g"), F.col(f"df_{name}g")
+    by_words = _bm25(c["w"], c["words"], F.col(f"mean_{name}w"), n, F.col(f"df_{name}w"))
+    by_short = _bm25(pick(c["g"]), c["grams"], mean_g, n, pick(df_g))
+    by_grams = F.when(F.forall(c["g"], lambda x: x > 0), _bm25(c["g"], c["grams"], mean_g, n, df_g)).otherwise(0.0) if qg else F.lit(0.0)
+    return F.greatest(boosts[0] * by_words, boosts[1] * by_short) + by_grams
 
 
 def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = "", local: list[str] | None = None, digits: int = 6) -> DataFrame:
@@ -166,9 +191,10 @@ def scored(docs: DataFrame, query: str, secondary: bool = False, scope: str = ""
         any_entry = F.coalesce(F.size("__e"), F.lit(-1)) > 0
     else:
         any_entry = F.lit(False)
-    met = docs.withColumn("__p", hit).where(F.col("__p") | any_entry).join(stats, by)
-    score = F.when(F.col("__p"), _clauses(F.col("__t"), "p", query, PRIMARY_BOOSTS)).otherwise(0.0)
+    met = docs.withColumn("__p", hit).where(F.col("__p") | any_entry).withColumn("__c", _counts(F.col("__t"), query)).join(stats, by)
+    score = F.when(F.col("__p"), _clauses(F.col("__c"), "p", query, PRIMARY_BOOSTS)).otherwise(0.0)
     if secondary:
-        each = F.transform("__e", lambda e: _clauses(surface(e["text"]), "s", query, SECONDARY_BOOSTS))
-        score = score + F.when(any_entry, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size("__e")).otherwise(0.0)
+        met = met.withColumn("__e", F.transform("__e", lambda e: _counts(surface(e["text"]), query)))
+        each = F.transform("__e", lambda c: _clauses(c, "s", query, SECONDARY_BOOSTS))
+        score = score + F.when(F.coalesce(F.size("__e"), F.lit(-1)) > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size("__e")).otherwise(0.0)
     return met.withColumn("score", F.round(score, digits)).select(*columns, "score")

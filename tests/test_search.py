@@ -202,3 +202,18 @@ def test_operands_keep_large_numbers():
     assert str(2**53 + 1) in str(operand(Field("n", "long"), str(2**53 + 1)))
     with pytest.raises(InvalidArgument):
         operand(Field("n", "integer"), str(2**31))
+
+
+def test_surfaces_count_like_token_arrays(spark):
+    """Words and grams of a surface string against those of token arrays."""
+    rows = ["Ab-ab ab", "", "!!", "a", "a b c", "aaa aaaa xaab", "one, two;three\nÉcole 12 1", "  lead and trail  "]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.surface(F.array("t")).alias("s"), text.words(F.array("t")).alias("w"))
+    df = df.withColumn("g", text.grams(F.col("w")))
+    terms, parts = ["ab", "aaa", "a", "one", "école"], ["aa", "ab", "aaa", "bb", "le", "12"]
+    row = df.select(
+        "w", "g", text.word_total(F.col("s")).alias("nw"), text.gram_total(F.col("s")).alias("ng"),
+        F.array(*[text.count_word(F.col("s"), x) for x in terms]).alias("tw"), F.array(*[text.count_gram(F.col("s"), x) for x in parts]).alias("tg"),
+    ).collect()
+    for r in row:
+        assert (r["nw"], r["ng"]) == (len(r["w"]), len(r["g"]))
+        assert r["tw"] == [r["w"].count(x) for x in terms] and r["tg"] == [r["g"].count(x) for x in parts]
