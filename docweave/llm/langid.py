@@ -15,11 +15,12 @@ from docweave.llm.common import blocks, table
 from docweave.llm.toxicity import fold
 
 #: Documents a model learns from, at most (those of the smallest hash of doc_id), and words drawn from each.
-SAMPLE, WORDS = 4_000, 48
+SAMPLE, WORDS = 4_000, 32
 HIDDEN = 16
 #: Bytes the network reads in one go; longer words are cut.
 SPAN = 24
-EPOCHS, BATCH, RATE = 3, 512, 0.01
+#: Training takes so many steps, over words of one length each, whatever the number of words.
+STEPS, BATCH, RATE = 600, 512, 0.012
 SEED = 7
 BLOCK = 4 << 20
 ROWS = 4096
@@ -119,7 +120,7 @@ class LanguageModel:
         b = self.behind.backward(x[:, ::-1], kept_b, dboth[::-1, :, hid:])
         return loss, [a.byte, a.state, a.bias, b.byte, b.state, b.bias, grad_out, flat.sum(axis=0)]
 
-    def fit(self, words: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> LanguageModel:
+    def fit(self, words: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> LanguageModel:
         """Adam over batches of words of one length, in an order drawn from seed."""
         rng = np.random.default_rng(seed)
         size = np.array([len(w) for w in words])
@@ -129,17 +130,17 @@ class LanguageModel:
             groups.append((np.frombuffer(b"".join(words[i] for i in rows), np.uint8).reshape(-1, n), y[rows]))
         parts = self._parts()
         first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
-        for epoch in range(epochs):
+        while step < steps:
             plan = []
             for g, (x, _) in enumerate(groups):
                 order = rng.permutation(len(x))
                 plan += [(g, order[i : i + batch]) for i in range(0, len(x), batch)]
-            for k in rng.permutation(len(plan)):
+            for k in rng.permutation(len(plan))[: steps - step]:
                 g, rows = plan[k]
                 x, labels = groups[g][0][rows], groups[g][1][rows]
                 _, grads = self.gradients(x, labels)
                 step += 1
-                scale = rate * 0.4**epoch * min(1.0, len(rows) / batch + 0.1) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+                scale = rate * 0.05 ** (step / steps) * min(1.0, len(rows) / batch + 0.1) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
                 for p, m, v, g_ in zip(parts, first, second, grads):
                     m += 0.1 * (g_ - m)
                     v += 0.001 * (g_ * g_ - v)
