@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import blocks, components, row_key, written
-from docweave.llm.simhash import SEED, SHARD_ROWS, _join_labels
+from docweave.llm.simhash import SEED, _join_labels
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Prints that one task takes into its trees, on average.
+SHARD_ROWS = 100_000
 LANES = 32
 #: Bands of a text, and shingles that a band is made of: texts of similarity 0.8 share one with probability 0.9998.
 BANDS, ROWS = 12, 3
@@ -229,18 +231,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """
     texts = docs.select(row_key().alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = written(texts.mapInArrow(_rows, "id long, text_hash long, node long, forms array<binary>, bands array<long>"), "similar-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"))
-    # any row's prints and bands will do: they are functions of the words, as the node is
-    own = rows.select("node", "forms", "bands", "id").join(nodes.withColumnRenamed("least", "id"), ["node", "id"]).dropDuplicates(["node"])
-    keyed = own.select("node", "bands", F.posexplode("forms").alias("form", "fp")).where(F.col("fp").isNotNull())
-    keyed = keyed.select("node", "form", "fp", F.posexplode("bands").alias("band", "key"))
-    met = keyed.groupBy("form", "band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = keyed.join(met, ["form", "band", "key"])
-    shards = max(1, -(-rows.count() * BANDS // SHARD_ROWS))
+    # prints and bands are functions of the words, as the node is: any row's will do
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("forms").alias("forms"), F.first("bands").alias("bands")), "similar-nodes")
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = written(keyed.join(shared, ["band", "key"], "left_semi"), "similar-keys")
+    shards = max(1, -(-met.count() // SHARD_ROWS))
+    dealt = met.join(nodes.select("node", "forms"), "node").select("node", "band", "key", F.posexplode("forms").alias("form", "fp")).where(F.col("fp").isNotNull())
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("form", "band", "key"), F.lit(shards)))
     links = written(dealt.groupBy("shard").applyInPandas(_shard(similarity), "u long, v long"), "similar-links")
     roots = written(components(links).select(F.col("node"), "root"), "similar-roots")
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("node", "component")
     plain = lambda c: F.nullif(F.col(c), F.lit(-(1 << 63)))
