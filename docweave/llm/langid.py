@@ -211,14 +211,16 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE, held_out: int = 2, folds: int = 4) -> LanguageModel:
     """A model of documents' lang, from WORDS words, drawn over the whole text, of each of at most `sample` documents.
 
-    Rows with a null text, lang or doc_id and those of the held-out fold are not learned from. Without rows the model
+    Rows with a null text, lang or doc_id and those of the held-out fold are not learned from; of rows that share a
+    doc_id the least counts. Without rows the model
     knows no language and calls every text unknown.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where((fold(folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    keys = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # a line for each of at most `sample` documents: its size is bounded
-    drawn = rows.join(F.broadcast(keys.distinct()), "doc_id").mapInArrow(_drawn, "doc_id long, lang string, words array<binary>").collect()
+    picked = rows.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
+    drawn = picked.mapInArrow(_drawn, "doc_id long, lang string, words array<binary>").collect()
     drawn.sort(key=lambda r: (r[0], r[1], r[2]))
     languages = sorted({r[1] for r in drawn if r[2]})
     number = {name: i for i, name in enumerate(languages)}

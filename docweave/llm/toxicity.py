@@ -193,12 +193,15 @@ def fold(modulus: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, toxic, half of at most `sample` labelled documents outside the held-out third, by hash of doc_id."""
+    """text, toxic, half of at most `sample` labelled documents outside the held-out third, by hash of doc_id.
+
+    Of rows that share a doc_id the least text counts, of their labels the greatest.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max("toxic").alias("toxic")).where(fold(3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a line for each of at most `sample` rows: its size is bounded
-    joined = held.join(F.broadcast(known), "doc_id")
+    joined = held.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return joined.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int").alias("half"))
 
 
