@@ -743,3 +743,177 @@ def m_doc_gap(spark, sf_dir):
     return target.agg(F.count(F.lit(1)).alias("t")).join(docs.agg(F.count(F.lit(1)).alias("c"))).select((F.col("t") - F.col("c")).alias("gap"))
 
 
+
+
+# sources, state folds and stores
+
+
+@query("s_listing_page", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part WHERE CAST(p_partkey AS VARCHAR) > '15' ORDER BY id LIMIT 30")
+def s_listing_page(spark, sf_dir):
+    return sources(spark, sf_dir).after("part", "15", 30).select("id", "name")
+
+
+@query("s_related", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey IN (3, 7)")
+def s_related(spark, sf_dir):
+    return sources(spark, sf_dir).related("order", "cust_id", spark.createDataFrame([("3",), ("7",)], "key string")).select("id")
+
+
+@query("p_parents", "SELECT DISTINCT 'customer' AS type, CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 50 = 1")
+def p_parents(spark, sf_dir):
+    """Customers that some orders name themselves."""
+    found = sources(spark, sf_dir)
+    ids = found.listing("order").where(F.col("id").cast("long") % 50 == 1).select("id")
+    return denorm.parents_of(config(), found, "order", ids)
+
+
+@query(
+    "c_neighbours",
+    "SELECT 'parent' AS side, 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'child', 'order', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey = 4 "
+    "UNION ALL SELECT 'child', 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey = 4 UNION ALL SELECT 'child', 'region', CAST(n_regionkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 4",
+)
+def c_neighbours(spark, sf_dir):
+    found = _edges(spark, sf_dir)
+    parents, children = st.neighbours(found, "nation", "3")[0], st.neighbours(found, "customer", "4")[1]
+    return parents.select(F.lit("parent").alias("side"), "type", "id").unionByName(children.select(F.lit("child").alias("side"), "type", "id"))
+
+
+@query("c_live_rows", f"WITH s AS ({_STATE_SQL}) SELECT id FROM s WHERE CAST(id AS INT) % 11 <> 0 AND id > '2' ORDER BY id LIMIT 15")
+def c_live_rows(spark, sf_dir):
+    return st.live_rows(_state(spark, sf_dir), "order", "2", 15).select("id")
+
+
+@query("c_uncovered", f"WITH s AS ({_STATE_SQL}) SELECT id FROM s WHERE CAST(id AS INT) % 11 <> 0 AND CAST(id AS INT) % 3 = 0 AND CAST(id AS INT) % 2 = 1")
+def c_uncovered(spark, sf_dir):
+    state = _state(spark, sf_dir)
+    sets = state.where(F.col("id").cast("int") % 2 == 0).select("type", "id", F.lit(1).alias("schema_version"))
+    return st.uncovered(state, sets, "order", 1).select("id")
+
+
+@query("c_last_sequence", f"WITH s AS ({_STATE_SQL}) SELECT max(change_seq) + 5 AS seq FROM s")
+def c_last_sequence(spark, sf_dir):
+    state = _state(spark, sf_dir)
+    sets = state.agg((F.max("change_seq") + 5).alias("build_seq"))
+    return st.last_sequence(state, sets)
+
+
+@query("c_mark", f"WITH s AS ({_STATE_SQL}) SELECT id, CAST(9000000 AS BIGINT) AS stale_seq, CASE WHEN CAST(id AS INT) % 3 <> 0 THEN since ELSE 7.0 END AS stale_since, change_seq FROM s WHERE CAST(id AS INT) < 40")
+def c_mark(spark, sf_dir):
+    """A fresh mark keeps the oldest stale time and all else."""
+    state = _state(spark, sf_dir)
+    return st.mark(state.where(F.col("id").cast("int") < 40).select("type", "id"), state, 9_000_000, 7.0).select("id", "stale_seq", "stale_since", "change_seq")
+
+
+@query("c_claim", f"WITH s AS ({_STATE_SQL}) SELECT id, change_seq AS owner_seq, 50.0 AS owner_since FROM s WHERE CAST(id AS INT) % 4 <> 1")
+def c_claim(spark, sf_dir):
+    """Rows whose owner's lease runs can't be claimed."""
+    owned = F.when(F.col("id").cast("int") % 4 == 1, F.lit(30.0)).when(F.col("id").cast("int") % 4 == 2, F.lit(10.0))
+    return st.claim(_state(spark, sf_dir).withColumn("owner_since", owned), 50.0).select("id", "owner_seq", "owner_since")
+
+
+@query(
+    "c_release",
+    f"WITH s AS ({_STATE_SQL}) SELECT id, CAST(CASE WHEN CAST(id AS INT) % 2 = 0 THEN attempts + 1 ELSE attempts END AS INT) AS attempts, "
+    "CASE WHEN CAST(id AS INT) % 2 = 0 THEN 100.0 + least(300.0 * pow(2.0, least(greatest(attempts + 1, 1) - 1, 62)), 86400.0) ELSE "
+    f"CASE WHEN CAST(id AS INT) % 5 = 0 THEN since + {_WAIT} END END AS due FROM s",
+)
+def c_release(spark, sf_dir):
+    """A failed build waits longer, but not one whose row changed since it was claimed."""
+    state = _state(spark, sf_dir)
+    token = F.when(F.col("id").cast("int") % 2 == 0, F.col("change_seq")).otherwise(F.col("change_seq") - 1)
+    state = state.withColumn("owner_seq", token)
+    tokens = state.select("type", "id", F.col("owner_seq").alias("token"))
+    return st.release(state, tokens, 100.0, failed=True).select("id", F.col("sweep_attempts").alias("attempts"), F.col("sweep_after").alias("due"))
+
+
+@query(
+    "c_finish",
+    f"WITH s AS ({_STATE_SQL}) SELECT id, CASE WHEN CAST(id AS INT) % 2 = 0 THEN NULL ELSE change_seq END AS stale_seq, CASE WHEN CAST(id AS INT) % 2 = 0 OR CAST(id AS INT) % 3 = 0 THEN NULL ELSE since END AS stale_since, CAST(77 AS BIGINT) AS build_idx FROM s",
+)
+def c_finish(spark, sf_dir):
+    """A mark that moved on during the build stays for one more; a settled one is cleared."""
+    state = _state(spark, sf_dir)
+    seen = F.when(F.col("id").cast("int") % 2 == 0, F.col("stale_seq")).otherwise(F.col("stale_seq") - 1)
+    return st.finish(state, state.select("type", "id", seen.alias("seen"), F.lit(77).cast("long").alias("build_idx"))).select("id", "stale_seq", "stale_since", "build_idx")
+
+
+@query("r_merge_versions", "SELECT * FROM (VALUES ('a', 1, 0, 'late'), ('b', 0, 1, 'unanswered'), ('c', 2, 0, NULL)) AS t(id, docs, nils, first_error)")
+def r_merge_versions(spark, sf_dir):
+    from docweave.operators.repair import merge_versions
+
+    rows = [("a", 1, "doc", None), ("a", 2, "err", "late"), ("b", 1, "nil", None), ("b", 2, "err", None), ("c", 1, "doc", None), ("c", 2, "doc", None)]
+    return merge_versions(spark.createDataFrame(rows, "id string, version int, outcome string, error string"))
+
+
+@query("m_mapping", _values_sql("path, type", [("resource_id", "string"), ("fields", "object"), ("fields.status", "keyword"), ("fields.total", "double"), ("line", "nested"), ("line.id", "string"), ("line.quantity", "double"), ("line.flag", "keyword"), ("line.part_id", "keyword"), ("search_primary", "array<string>"), ("search_secondary", "nested"), ("search_secondary.text", "array<string>"), ("search_secondary.scope", "array<string>")]))
+def m_mapping(spark, sf_dir):
+    from docweave.plans.schema import paths
+
+    return spark.createDataFrame(paths(document_schema(config().resource("shipment").version())), "path string, type string")
+
+
+@query("m_alias_moves", _values_sql("targets, move", [("", "create"), ("a_search_v2", "in-sync"), ("a_search_v1", "forward"), ("a_search_v3", "backward"), ("b_search_v1", "foreign"), ("a_search_v1,a_search_v2", "foreign")]))
+def m_alias_moves(spark, sf_dir):
+    from docweave.operators.migrate import classify_move
+
+    cases = ["", "a_search_v2", "a_search_v1", "a_search_v3", "b_search_v1", "a_search_v1,a_search_v2"]
+    return spark.createDataFrame([(t, classify_move("a", [x for x in t.split(",") if x], 2)) for t in cases], "targets string, move string")
+
+
+def _engine(spark: SparkSession, sf_dir: str, types: tuple[str, ...]):
+    """An engine in a folder of its own, with all rows of some types registered and built."""
+    import tempfile
+    import uuid
+
+    from docweave.operators.engine import Engine
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docweave-")).rstrip("/")
+    engine = Engine(spark, config(), sources(spark, sf_dir), f"{base}/engine-{uuid.uuid4().hex}", clock=lambda: 0.0)
+    for t in types:
+        rows = engine.sources.listing(t)
+        engine.register(rows.select(F.lit("created").alias("kind"), F.lit(t).alias("type"), "id", F.create_map().cast("map<string,string>").alias("metadata"), F.lit(1).cast("long").alias("version")))
+    engine.build()
+    engine.point_aliases()
+    return engine
+
+
+@query("e_build_and_search", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def e_build_and_search(spark, sf_dir):
+    """Notifications, a build, an alias, a search: the documents come from the store."""
+    engine = _engine(spark, sf_dir, ("nation",))
+    return engine.searcher().matches(SearchRequest("nation", filters=(Filter("fields.region_id", "eq", "2"),))).select("id", F.col("fields.name").alias("name"))
+
+
+@query("e_scan", "SELECT row_number() OVER (ORDER BY p_size DESC, p_brand, CAST(p_partkey AS VARCHAR)) AS pos, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size > 40")
+def e_scan(spark, sf_dir):
+    """A scan's pages, one after the other, are the whole order."""
+    from docweave.operators.scan import Scanner
+
+    engine = _engine(spark, sf_dir, ("part",))
+    scanner = Scanner(engine.searcher(), engine.store, clock=lambda: 0.0)
+    request = SearchRequest("part", filters=(Filter("fields.size", "gt", "40"),), sort=(Sort("fields.size", True), Sort("fields.brand")), page_size=max(200, parquet_tables(spark, sf_dir)("part").count() // 8))
+    ids, token = [], ""
+    while True:
+        page = scanner.page(SearchRequest(**{**request.__dict__, "page_token": token}))
+        ids += [r["id"] for r in page.hits.collect()]  # what a client does: page by page
+        token = page.next_token
+        if not token:
+            return spark.createDataFrame([(i + 1, x) for i, x in enumerate(ids)], "pos long, id string")
+
+
+@query("e_readiness", _values_sql("gate, ok", [("alias-state", True), ("target-index", True), ("coverage", True), ("doc-gap", True), ("stale-backlog", True)]))
+def e_readiness(spark, sf_dir):
+    from docweave.operators.migrate import cutover_readiness
+
+    return cutover_readiness(_engine(spark, sf_dir, ("region",)), "region", 1).select("gate", "ok")
+
+
+@query("e_reverse_sweep", "SELECT 'region' AS type, CAST(r_regionkey AS VARCHAR) AS id FROM region WHERE r_regionkey >= 3")
+def e_reverse_sweep(spark, sf_dir):
+    """Rows that the source stops returning are marked."""
+    from docweave.operators.repair import reverse_sweep
+
+    engine = _engine(spark, sf_dir, ("region",))
+    all_rows = engine.sources.listing("region")
+    engine.sources.add("region", all_rows.where(F.col("id").cast("int") < 3))
+    reverse_sweep(engine, "region")
+    return engine.state().where(F.col("stale_seq").isNotNull()).select("type", "id")
