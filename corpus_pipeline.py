@@ -38,10 +38,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several rows of that id in the group the least one stays.
     """
     found = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(row_key().alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).join(kept, "__id")
-    rows = rows.where(F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    return rows.groupBy("__id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    key = ["__id", "__hash"]
+    kept = found.select(row_key().alias("__id"), F.col("text_hash").alias("__hash"))
+    often = kept.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", F.lit(True).alias("__often"))
+    kept = written(kept.distinct().join(often, "__id", "left"), "stage-kept")
+    rows = docs.select(*COLUMNS, row_key().alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__hash"))
+    # nearly all ids have one row; those rows aren't shuffled again to find the least
+    single = rows.join(kept.where("__often is null"), key, "left_semi").select(*COLUMNS)
+    several = rows.join(kept.where("__often"), key, "left_semi").groupBy("__id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return single.unionByName(several)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
