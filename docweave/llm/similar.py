@@ -2,7 +2,8 @@
 
 A 64-bit print with a radius of 3 bits tells little about texts that share four fifths of their shingles: such prints are
 some ten bits apart. Here prints have 2048 bits, whose distance estimates the similarity to within about 0.02, and trees
-are built where two texts share the least of their shingles under some of many orders.
+are built where two texts share the least of their shingles under some of many orders. What is near by its prints is only
+a candidate: texts link by the exact similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ SHARD_ROWS = 100_000
 LANES = 32
 #: Bands of a text, and shingles that a band is made of: texts of similarity 0.8 share one with probability 0.9998.
 BANDS, ROWS = 12, 3
-#: How far below the similarity an estimate may be: less than one standard error of it.
-SLACK = 0.01
+#: By how many standard errors the distance of two candidates' prints may exceed what their similarity leads to expect.
+ERRORS = 5
 BLOCK = 2 << 20
+#: Bytes of candidates' texts that one task compares, on average; shingles, and at first pairs, that are compared at once.
+EXACT_BYTES, SHINGLES, FIRST_PAIRS = 8 << 20, 1 << 20, 1024
 #: Sets of few shingles are held as a bitmap instead, whose distance counts the shingles that two sets don't share. Sizes
 #: between FEW and MANY have both forms: sets on either side of them can't be similar.
 FEW, MANY = 52, 80
@@ -46,6 +49,12 @@ def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def candidate_radius(similarity: float, bits: int = 64 * LANES) -> int:
+    """The distance that prints of two sets of that similarity hardly ever exceed; at equal sizes they are farthest apart."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + ERRORS * math.sqrt(bits * share * (1 - share)))
+
+
 def shingle_hashes(words: list[bytes], width: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles; fewer words than a shingle are one."""
     joined = b" ".join(words)
@@ -75,10 +84,14 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def _text_hashes(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return words, shingle_hashes(words) if words else np.zeros(1, np.uint64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in blocks(whole, 1, BLOCK)):
-        texts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in batch.column(1).to_pylist()]
-        hashes = [shingle_hashes(w) if w else np.zeros(1, np.uint64) for w in texts]
+        texts, hashes = zip(*map(_text_hashes, batch.column(1).to_pylist()))
         starts = np.cumsum([0] + [len(h) for h in hashes])[:-1]
         flat = np.concatenate(hashes)
         least = np.stack([np.minimum.reduceat((flat ^ (flat >> np.uint64(32))) * m, starts) for m in _ORDER], axis=1)
@@ -95,22 +108,59 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class Sets:
+    """Sets of shingles, by their sorted hashes, and which of them are similar."""
+
+    def __init__(self, hashes: list[np.ndarray], similarity: float):
+        self.similarity, self.size = similarity, np.array([len(h) for h in hashes], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        ids = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int64)
+        self.width = int(ids.max()) + 1
+        self.keys = np.repeat(np.arange(len(hashes)), self.size) * self.width + ids
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard similarity of the sets a and b (positions) is at least what is asked for."""
+        n, m = self.size[a], self.size[b]
+        out = np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9
+        todo = np.flatnonzero(out)
+        total = np.cumsum(n[todo])
+        at = 0
+        while at < len(todo):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SHINGLES, "right")))
+            pair = todo[at:to]
+            k, ends = n[pair], np.cumsum(n[pair])
+            own = np.arange(ends[-1]) + np.repeat(self.begin[a[pair]] - (ends - k), k)
+            keys = self.keys[own] + np.repeat((b[pair] - a[pair]) * self.width, k)
+            held = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+            shared = np.add.reduceat(held, ends - k, dtype=np.int64)
+            out[pair] = shared >= self.similarity * (k + m[pair] - shared) - 1e-9
+            at = to
+        return out
+
+
 class Near:
-    """When prints are near: at most radius bits apart, or, of bitmaps, so few that the sets are similar."""
+    """Prints at most radius bits apart are near. They link by that or, if the sets are given, if those are similar."""
 
-    def __init__(self, prints: np.ndarray, radius: int, similarity: float | None = None):
-        self.prints, self.radius, self.similarity = prints, radius, similarity
-        self.sizes = np.bitwise_count(prints).sum(axis=1, dtype=np.int64) if similarity else None
+    def __init__(self, prints: np.ndarray, radius: int, sets: Sets | None = None):
+        self.prints, self.radius, self.sets = prints, radius, sets
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bits between the prints a and b (positions)."""
         return np.concatenate([distance(self.prints[a[i : i + PAIRS]], self.prints[b[i : i + PAIRS]]) for i in range(0, max(len(a), 1), PAIRS)])
 
-    def test(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-        near = d <= self.radius
-        if self.similarity:
-            near &= d * (1 + self.similarity) <= (self.sizes[a] + self.sizes[b]) * (1 - self.similarity) + 1e-9
-        return near
+    def join(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """label, with the components of the near prints a and b joined if they link. Pairs of one component need no test."""
+        if self.sets is None:
+            return _join_labels(label, a, b)
+        step = FIRST_PAIRS
+        while True:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return label
+            link = self.sets.similar(a[:step], b[:step])
+            label = _join_labels(label, a[:step][link], b[:step][link])
+            a, b, step = a[step:], b[step:], step * 2
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,7 +195,7 @@ class WideForest:
         who, node, found, radius = queries, roots, [], self.near.radius
         while len(who):
             d = self.near.distance(who, self.items[node])
-            hit = self.near.test(who, self.items[node], d)
+            hit = d <= radius
             found.append((who[hit], self.items[node[hit]]))
             low = np.searchsorted(self.key, node * 8192 + np.maximum(d - radius, 0), "left")
             n = np.searchsorted(self.key, node * 8192 + np.minimum(d + radius, 8191), "right") - low
@@ -166,9 +216,9 @@ def _large(near: Near, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
         if not todo.any():
             break
         lead = np.full(len(rows), rows[np.argmax(todo)])
-        hit = near.test(lead, rows, near.distance(lead, rows))
-        label = _join_labels(label, lead[hit], rows[hit])
-        todo &= ~hit
+        hit = near.distance(lead, rows) <= near.radius
+        label = near.join(label, lead[hit], rows[hit])
+        todo &= label[rows] != label[lead]
     names, n = np.unique(label[rows], return_counts=True)
     outside = rows[label[rows] != names[n.argmax()]]
     if len(outside):
@@ -176,30 +226,42 @@ def _large(near: Near, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
         step = max(1, PAIRS // len(outside))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
-            label = _join_labels(label, *forest.within(part, np.zeros(len(part), np.int64)))
+            label = near.join(label, *forest.within(part, np.zeros(len(part), np.int64)))
     return label
 
 
-def wide_links(group: np.ndarray, prints: np.ndarray, radius: int, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A link from every print to the first of its component, components being within sorted groups."""
-    n, label = len(prints), np.arange(len(prints))
-    if not n:
-        return label, label
-    near = Near(prints, radius, similarity)
+def _groups(near: Near, items: np.ndarray, group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """label, with the components of every group joined; items: positions of the prints; group: their groups, sorted."""
+    if not len(items):
+        return label
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    size = np.diff(np.append(first, n))
-    for a, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        label = _large(near, np.arange(a, a + k), label)
-    small = np.flatnonzero(np.repeat((size <= SMALL) & (size > 1), size))
+    size = np.diff(np.append(first, len(items)))
+    apart = np.minimum.reduceat(label[items], first) != np.maximum.reduceat(label[items], first)
+    large = apart & (size > SMALL)
+    for a, k in zip(first[large].tolist(), size[large].tolist()):
+        label = _large(near, items[a : a + k], label)
+    small = np.flatnonzero(np.repeat(apart & (size <= SMALL), size))
     if len(small):
-        forest = WideForest(near, small, group[small])
+        forest = WideForest(near, items[small], group[small])
         step = max(1, PAIRS // SMALL)
         for at in range(0, len(small), step):
-            label = _join_labels(label, *forest.within(small[at : at + step], forest.root[at : at + step]))
-    linked = np.flatnonzero(label != np.arange(n))
+            a, b = forest.within(forest.items[at : at + step], forest.root[at : at + step])
+            label = near.join(label, a[a < b], b[a < b])  # the other way round a pair comes again
+    return label
+
+
+def wide_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A link from every print to the first of its component, components being within sorted groups."""
+    label = _groups(Near(prints, radius), np.arange(len(prints)), group, np.arange(len(prints)))
+    linked = np.flatnonzero(label != np.arange(len(prints)))
     return linked, label[linked]
 
 
+def _radii(similarity: float) -> tuple[int, int]:
+    """The distances that bitmaps never and prints hardly ever exceed if their sets are similar."""
+    return int(2 * MANY * (1 - similarity) / (1 + similarity) + 1e-9), candidate_radius(similarity)
+
+
 def _shard(similarity: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -208,26 +270,48 @@ def _shard(similarity: float):
             band, key, node = (part[c].to_numpy() for c in ("band", "key", "node"))
             new = np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
             prints = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, LANES)
-            if form:
-                a, b = wide_links(np.cumsum(new), prints, radius_of(similarity - SLACK))
-            else:
-                a, b = wide_links(np.cumsum(new), prints, int(2 * MANY * (1 - similarity) / (1 + similarity)), similarity)
+            a, b = wide_links(np.cumsum(new), prints, _radii(similarity)[form])
             found.append(pd.DataFrame({"u": node[a], "v": node[b]}))
         return pd.concat(found)
 
     return run
 
 
+def _exact(similarity: float):
+    """Texts of whole components of candidates -> the components that the similar ones among them make."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, bands = pdf["node"].to_numpy(), np.stack(pdf["bands"].to_list())
+        sets = Sets([_text_hashes(t)[1] for t in pdf["text"]], similarity)
+        label = np.arange(len(node))
+        for form, radius in enumerate(_radii(similarity)):
+            forms = [f[form] for f in pdf["forms"]]
+            rows = np.flatnonzero([f is not None for f in forms])
+            prints = np.zeros((len(node), LANES), np.uint64)
+            prints[rows] = np.frombuffer(b"".join(forms[i] for i in rows), np.uint64).reshape(-1, LANES)
+            near = Near(prints, radius, sets)
+            for keys in bands[rows].T:
+                order = np.argsort(keys, kind="stable")
+                label = _groups(near, rows[order], keys[order], label)
+        return pd.DataFrame({"node": node, "root": node[label]})
+
+    return run
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of docs: doc_id, component_id, text_hash (XXH64 of the text): groups of near duplicates.
 
     Two texts link if the Jaccard similarity of their sets of five-word shingles (A-Z in lower case, words as runs of
-    anything but ASCII white space) is at least `similarity`, as prints estimate it: to within about 0.02 for texts of
-    more than MANY shingles, of which those above `similarity` - SLACK count, and nearly exactly below. component_id is
+    anything but ASCII white space) is at least `similarity`. Candidates are pairs that share a band and whose prints are
+    at most ERRORS standard errors farther apart than such texts are; their sets (as 64-bit hashes) are then compared
+    exactly, but for pairs that other links have made one component already. component_id is
     the smallest doc_id that can be reached. Texts of the same words are one from the start, so copies are counted
     before any shuffle. Texts without words link with each other. Rows of equal doc_id are rows on their own; a null
     doc_id is smaller than all others and stays null. An empty table gives an empty result. Other columns of docs are
     not looked at.
+
+    Candidates are joined to components by their prints first; a component's texts, and only these, then go to one task.
     """
     texts = docs.select(row_key().alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = written(texts.mapInArrow(_rows, "id long, text_hash long, node long, forms array<binary>, bands array<long>"), "similar-rows")
@@ -240,7 +324,14 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     dealt = met.join(nodes.select("node", "forms"), "node").select("node", "band", "key", F.posexplode("forms").alias("form", "fp")).where(F.col("fp").isNotNull())
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("form", "band", "key"), F.lit(shards)))
     links = written(dealt.groupBy("shard").applyInPandas(_shard(similarity), "u long, v long"), "similar-links")
-    roots = written(components(links).select(F.col("node"), "root"), "similar-roots")
+    met = written(components(links).select("node", F.col("root").alias("dealt")), "similar-met")
+    # any row's text will do here too
+    wanted = written(rows.join(met, "node").groupBy("node", "dealt").agg(F.min("text_hash").alias("text_hash")), "similar-wanted")
+    text = texts.join(wanted, "text_hash").groupBy("node", "dealt").agg(F.first("text").alias("text"))
+    asked = written(text.join(nodes.select("node", "forms", "bands"), "node"), "similar-texts")
+    tasks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // EXACT_BYTES))
+    asked = asked.withColumn("task", F.pmod(F.xxhash64("dealt"), F.lit(tasks))).drop("dealt")
+    roots = written(asked.groupBy("task").applyInPandas(_exact(similarity), "node long, root long"), "similar-roots")
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("node", "component")

@@ -116,3 +116,19 @@ def test_large_groups(spark):
     rows += [(1000 + i, " ".join(words[80:240]) + f" number {i}", "en", "s") for i in range(400)]
     found = {r["doc_id"]: r["component_id"] for r in s.similar_documents(docs_of(spark, rows)).collect()}
     assert all(found[i] == i // 1000 * 1000 for i in found)
+
+
+def test_borderline_similarity(spark):
+    """Pairs a little above and below the similarity, of more shingles than a bitmap takes: linked exactly as their sets say."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(160):
+        n = int(rng.integers(100, 400))
+        aim = 0.77 + 0.06 * i / 160
+        same = int(round(2 * n * aim / (1 + aim))) + 4
+        t = [f"w{int(x)}" for x in rng.integers(0, 10**9, 2 * n + 8 - same)]
+        texts += [" ".join(t[: n + 4]), " ".join(t[:same] + t[n + 4 :])]
+    expected = brute_similar(texts)
+    assert 60 < sum(expected[i] != i for i in range(len(texts))) < 100
+    found = {r["doc_id"]: r["component_id"] for r in s.similar_documents(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
