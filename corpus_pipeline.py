@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm.common import row_key, table, written
 from docweave.llm.linedup import dedup_lines
-from docweave.llm.mixing import mix
+from docweave.llm.mixing import mix, word_count
 from docweave.llm.pieces import Pieces, piece_counts
 from docweave.llm.similar import similar_documents
 from docweave.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -35,17 +36,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8), that of the smallest doc_id.
 
-    Of several rows of that id in the group the least one stays.
+    Of several rows of that id in the group the least one stays. Rows of one id, or of none, in different groups all stay.
     """
     found = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = ["__id", "__hash"]
-    kept = found.select(row_key().alias("__id"), F.col("text_hash").alias("__hash"))
-    often = kept.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", F.lit(True).alias("__often"))
-    kept = written(kept.distinct().join(often, "__id", "left"), "stage-kept")
+    kept = found.groupBy("root", row_key().alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("n"))
+    kept = written(kept, "stage-least")
+    often = kept.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root", F.lit(True).alias("__often"))
+    kept = written(kept.drop("n").join(often, "root", "left").withColumnRenamed("root", "__root"), "stage-kept")
     rows = docs.select(*COLUMNS, row_key().alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__hash"))
-    # nearly all ids have one row; those rows aren't shuffled again to find the least
+    # nearly all groups have one such row; those rows aren't shuffled again to find the least
     single = rows.join(kept.where("__often is null"), key, "left_semi").select(*COLUMNS)
-    several = rows.join(kept.where("__often"), key, "left_semi").groupBy("__id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    several = rows.join(kept.where("__often"), key).groupBy("__root").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
     return single.unionByName(several)
 
 
@@ -54,9 +56,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words weigh nothing in the mix and stay once.
     """
-    times = mix(docs).groupBy(row_key().alias("__id")).agg(F.max("times").alias("times"), F.max("size").alias("size"))
-    times = times.select("__id", F.when(F.col("size") == 0, 1).otherwise(F.col("times")).cast("int").alias("times")).where("times > 0")
-    rows = docs.select(*COLUMNS).withColumn("__id", row_key()).join(times, "__id")
+    key = ["__id", "__source", "__size"]
+    named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("__source")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("times"))
+    taken = mix(docs).select(row_key().alias("__id"), named, F.col("size").alias("__size"), times.alias("times"))
+    taken = written(taken.groupBy(*key).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("__n")).where("times > 0"), "stage-times")
+    rows = docs.select(*COLUMNS, row_key().alias("__id"), named, word_count(F.col("text")).alias("__size"))
+    single = rows.join(taken.where("__n = 1"), key).select(*COLUMNS, F.col("times").cast("int").alias("times"))
+    # rows of one id, source and length are alike to the mix: they share its times, the first of them the odd ones
+    several = rows.join(taken.where("__n > 1"), key).withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    share = F.expr("times div __n + if(__nth <= times % __n, 1, 0)").cast("int").alias("times")
+    rows = single.unionByName(several.select(*COLUMNS, share)).where("times > 0")
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy")).drop("__copy")
 
 

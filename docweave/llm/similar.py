@@ -300,13 +300,13 @@ def _exact(similarity: float):
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of docs: doc_id, component_id, text_hash (XXH64 of the text): groups of near duplicates.
+    """Per row of docs: doc_id, component_id, text_hash (XXH64 of the text), root: groups of near duplicates.
 
     Two texts link if the Jaccard similarity of their sets of five-word shingles (A-Z in lower case, words as runs of
     anything but ASCII white space) is at least `similarity`. Candidates are pairs that share a band and whose prints are
     at most ERRORS standard errors farther apart than such texts are; their sets (as 64-bit hashes) are then compared
     exactly, but for pairs that other links have made one component already. component_id is
-    the smallest doc_id that can be reached. Texts of the same words are one from the start, so copies are counted
+    the smallest doc_id that can be reached; root names the group, also where groups have the same smallest doc_id. Texts of the same words are one from the start, so copies are counted
     before any shuffle. Texts without words link with each other. Rows of equal doc_id are rows on their own; a null
     doc_id is smaller than all others and stays null. An empty table gives an empty result. Other columns of docs are
     not looked at.
@@ -316,7 +316,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     texts = docs.select(row_key().alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = written(texts.mapInArrow(_rows, "id long, text_hash long, node long, forms array<binary>, bands array<long>"), "similar-rows")
     # prints and bands are functions of the words, as the node is: any row's will do
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("forms").alias("forms"), F.first("bands").alias("bands")), "similar-nodes")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("forms").alias("forms"), F.first("bands").alias("bands")), "similar-nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = written(keyed.join(shared, ["band", "key"], "left_semi"), "similar-keys")
@@ -325,8 +325,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("form", "band", "key"), F.lit(shards)))
     links = written(dealt.groupBy("shard").applyInPandas(_shard(similarity), "u long, v long"), "similar-links")
     met = written(components(links).select("node", F.col("root").alias("dealt")), "similar-met")
-    # any row's text will do here too
-    wanted = written(rows.join(met, "node").groupBy("node", "dealt").agg(F.min("text_hash").alias("text_hash")), "similar-wanted")
+    wanted = written(nodes.join(met, "node").select("node", "dealt", "text_hash"), "similar-wanted")
     text = texts.join(wanted, "text_hash").groupBy("node", "dealt").agg(F.first("text").alias("text"))
     asked = written(text.join(nodes.select("node", "forms", "bands"), "node"), "similar-texts")
     tasks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // EXACT_BYTES))
@@ -334,6 +333,6 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     roots = written(asked.groupBy("task").applyInPandas(_exact(similarity), "node long, root long"), "similar-roots")
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("node", "component")
+    named = named.join(least, "root").select("node", "component", "root")
     plain = lambda c: F.nullif(F.col(c), F.lit(-(1 << 63)))
-    return rows.join(named, "node").select(plain("id").alias("doc_id"), plain("component").alias("component_id"), "text_hash")
+    return rows.join(named, "node").select(plain("id").alias("doc_id"), plain("component").alias("component_id"), "text_hash", "root")

@@ -89,3 +89,25 @@ def test_empty_tables(spark, tmp_path):
     docs_of(spark, []).write.parquet(f"{sf_dir}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{sf_dir}/labels.parquet")
     assert pipe.run(spark, sf_dir).count() == 0
+
+
+def test_near_dedup_by_group(spark):
+    """Rows without an id, and rows of one id, that hold unrelated texts all stay; copies of them go."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (2, text(0) + " more"), (3, text(3)), (1, text(3)), (4, text(4)), (4, text(4) + " more"), (4, None), (5, "")]
+    near = pipe.near_dedup(spark, docs_of(spark, [(i, t, "en", "s") for i, t in rows]), "")
+    expected = [(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (4, text(4)), (4, None)]
+    assert sorted(((r[0], r[1]) for r in rows_of(near)), key=str) == sorted(expected, key=str)
+
+
+def test_mixing_of_rows_of_one_id(spark):
+    """Each row gets its own times from the mix, not those of another row of its id."""
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (1 + i % 5)) + f" {i}", "en", f"s{i % 3}") for i in range(60)] + [(7, None, "en", None)]
+    docs = docs_of(spark, rows)
+    words: dict = {}
+    for r in pipe.mix(docs).collect():
+        words[r["source"]] = words.get(r["source"], 0) + r["taken"]
+    mixed: dict = {}
+    for r in rows_of(pipe.mixing(spark, docs, "")):
+        mixed[r[3]] = mixed.get(r[3], 0) + len((r[1] or "").split())
+    assert mixed == words
