@@ -326,13 +326,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (id, doc_id, text) with an id for each different text of an id, in order of id and XXH64 of the text.
+
+    Where no id has two texts, which one grouped pass over ids and hashes tells, ids stay as they are.
+    """
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    pairs = texts.select("id", "hash").groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
+    if pairs.where("a <> b").isEmpty():
+        return texts.drop("hash")
+    ordered = texts.select("id", "hash").distinct().orderBy("id", "hash").withColumn("number", F.monotonically_increasing_id())
+    ordered = written(ordered, "substring-ids")
+    return texts.join(ordered, ["id", "hash"]).select(F.col("number").alias("id"), "doc_id", "text")
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     Every byte covered by a LENGTH-byte string that also starts earlier (smaller doc_id, or earlier in the same
     document) goes; strings are judged on the input and never cross documents. A null text is empty. Rows of equal
-    doc_id are taken as one document: a string at the same place in two of them isn't repeated by that; a null doc_id
-    is smaller than all others and stays null. An empty table gives an empty result. Other columns are not looked at.
+    doc_id and text are taken as one document: a string at the same place in two of them isn't repeated by that. Rows
+    of equal doc_id and different texts are documents of their own, in order of the texts' XXH64; so are rows of a null
+    doc_id, which is smaller than all others and stays null. An empty table gives an empty result. Other columns are not looked at.
 
     Suffixes are sampled: a string belongs to the bucket of its anchor, its least GRAM-byte substring, so equal strings
     share a bucket, and strings that start side by side mostly share it too and go as one row. Buckets are refined by
@@ -344,6 +359,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     before the shuffle, and the strings of anchors with very many contexts are spread one by one.
     """
     texts = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _numbered(texts)
     rows = texts.select("id", "text").mapInArrow(_contexts, ROW).repartition("bucket").sortWithinPartitions("bucket", "inner", "kind", "id", "start")
     found = written(rows.mapInArrow(_buckets, ROW).where(F.col("kind") >= GONE).drop("bucket", "inner"), "substring-runs")
     dealt = texts.repartition("id")

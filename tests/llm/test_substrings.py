@@ -104,3 +104,19 @@ def test_rows_of_one_id_are_one_document(spark):
     out = s.dedup_substrings(docs_of(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (2, text, "en", "s")]))
     found = sorted((r["doc_id"], r["n_removed"]) for r in out.collect())
     assert found[0] == found[1] and found[2] == (2, len(text))
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    """Of one id and of none: unrelated, shorter and null texts, and strings at the same place in two of them."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared, edge = word(150), word(130)
+    texts = [shared + word(90), shared + word(400), word(300), None, "short", word(20) + edge + word(70), word(20) + edge[10:125] + word(50)]
+    rows = [(i, t) for i in (None, 4) for t in texts] + [(2, word(500) + shared), (5, edge + word(9)), (5, shared[:120]), (5, None)]
+    rows += [(6, t) for t in (word(3) + edge[3:], word(700) + edge, shared[20:] + word(40))]
+    out = s.dedup_substrings(docs_of(spark, [(i, t, "en", "s") for i, t in rows]))
+    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:4], bytes(r["kept"])) for r in out.collect())
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts + [t for _, t in rows]], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -1, hashes[r[1]]))
+    expected = brute([(k, (t or "").encode()) for k, (_, t) in enumerate(order)])
+    assert found == sorted((i if i is not None else -1, *expected[k]) for k, (i, _) in enumerate(order))
