@@ -1,4 +1,7 @@
-"""What the operators of this subpackage share: reading, shared storage, scalable ranks, components."""
+"""What the operators of this subpackage share: reading, shared storage, scalable ranks, components.
+
+In all of them a doc_id of -2**63 is the same as none: it is what stands for a null inside.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that one task ranks at most, on average, when a class of rows is numbered.
-RANK_BLOCK = 100_000
+RANK_BLOCK = 10_000
 
 #: Stands for a null doc_id in joins and orders; such a row sorts before all others.
 NULL_ID = -(1 << 63)
@@ -43,16 +46,23 @@ def with_text(df: DataFrame, keep: tuple[str, ...], more: list) -> tuple[DataFra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the sample tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session (tests) gets a temporary folder; a cluster, whose executors would each write to a
+    disk of their own, is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(base)
         return base
@@ -62,37 +72,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
+    """df, written once to the shared folder and read back: lineage ends here and a lost executor costs nothing.
+
+    What was written goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(doc_id="doc_id"):
+    """The id that stands for a row in joins and orders; a null one (and -2**63 itself, which no table uses) is NULL_ID."""
     return F.coalesce(F.col(doc_id), F.lit(NULL_ID))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, count: str, rank: str = "rank", block: int = RANK_BLOCK) -> DataFrame:
     """Numbers the rows of each class 0, 1, 2, ... without gaps, in column rank.
 
-    keys name the class, which must not be null; column count holds the class's number of rows. A class of more than
-    block rows is split by a hash of the order columns; each part is numbered in its own task and shifted by the sizes
-    of the parts before it, so that no task has to hold a whole class. The numbering is a function of the rows alone.
+    keys name the class, which must not be null; column count holds the class's number of rows. At every size rows are in
+    order of the hash of the order columns, then of these. Each class is cut into ranges of the hash of about `block` rows;
+    each is numbered in its own task and shifted by the sizes of those before it, so no task holds a whole class. Rows that
+    are equal in all columns are one row, with a number, until they are numbered. The numbering is a function of the rows alone.
     """
-    salt, shift = "__salt", "__shift"
-    split = F.ceil(F.col(count) / F.lit(block))
-    salted = df.withColumn(salt, F.when(F.col(count) > block, F.pmod(F.xxhash64(*order), split)).otherwise(F.lit(0)).cast("long"))
-    parts = salted.where(F.col(count) > block).groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("__n"))
+    salt, shift, at, same = "__salt", "__shift", "__at", "__same"
+    part = F.shiftright(F.shiftrightunsigned(F.col(at), 33) * F.ceil(F.col(count) / F.lit(block)), 31)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(same)).withColumn(at, F.xxhash64(*order).bitwiseXOR(F.lit(NULL_ID))).withColumn(salt, part)
     before = Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = parts.select(*keys, salt, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(shift))
-    own = Window.partitionBy(*keys, salt).orderBy(*order)
-    return (
-        salted.withColumn(rank, F.row_number().over(own).cast("long") - 1)
-        .join(shifts, [*keys, salt], "left")
-        .withColumn(rank, F.col(rank) + F.coalesce(F.col(shift), F.lit(0)))
-        .drop(salt, shift)
-    )
+    shifts = rows.groupBy(*keys, salt).agg(F.sum(same).alias("__n")).select(*keys, salt, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(shift))
+    own = Window.partitionBy(*keys, salt).orderBy(F.col(at).bitwiseXOR(F.lit(NULL_ID)), *order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn(rank, F.coalesce(F.sum(same).over(own), F.lit(0))).join(shifts, [*keys, salt])
+    first = F.col(rank) + F.col(shift)
+    return numbered.select(*df.columns, F.explode(F.sequence(first, first + F.col(same) - 1)).alias(rank))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

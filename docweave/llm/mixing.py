@@ -13,8 +13,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
-#: The budget that the exact search over lengths may be left with, in words, beyond the shortest length.
-EXACT_WORDS = 16_384
+#: The budget that the exact search over lengths may be left with, in words, beyond the shortest length; words that it may
+#: put back at most, which bounds its memory (a bit for each word and step).
+EXACT_WORDS, ROOM = 16_384, 1 << 24
 
 
 def word_count(text):
@@ -57,9 +58,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
     """How many documents of each length to take so that their words sum to budget, or come as near below as can be.
 
-    First every length gives its share, rounded down; then long lengths first until at most `exact` words (and the
-    shortest length) are left; bounded-knapsack dynamic programming over what is then left finds an exact sum, bits of
-    one long integer standing for the sums that can be reached.
+    Every length gives its share, rounded down, then long lengths fill up until at most `exact` words (and the shortest
+    length) are left. Bounded-knapsack dynamic programming over what is left then finds the nearest sum, bits of one long
+    integer standing for the sums that can be reached: documents are put back, up to `room` words, and others taken.
+    room grows from nothing until the budget is met, or until more can't help: no set comes nearer if all that was taken
+    may be put back, nor beyond `(left + 2 longest + 1) * longest` words, since a longer exchange of documents has a part
+    that changes nothing. (At ROOM words the search ends in any case.)
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
@@ -68,33 +72,57 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT
         return take
     if budget >= whole:
         return np.where(lengths > 0, counts, 0)
+    unit = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))  # nothing between its multiples can be reached
+    lengths, budget, whole, exact = lengths // unit, budget // unit, whole // unit, max(1, exact // unit)
     take = np.array([c * budget // whole if n else 0 for n, c in zip(lengths.tolist(), counts.tolist())], dtype=np.int64)
     left = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order.tolist():
+    order = [i for i in np.argsort(lengths, kind="stable").tolist() if lengths[i] and counts[i]]
+    for i in reversed(order):
         n = int(lengths[i])
-        if n and left - exact >= n:
+        if left - exact >= n:
             more = min(int(counts[i] - take[i]), (left - exact) // n)
             take[i] += more
             left -= more * n
-    goal, reach, steps = 1 << left, 1, []
-    mask = (goal << 1) - 1
-    for i in order[::-1].tolist():
-        n, spare = int(lengths[i]), int(counts[i] - take[i])
-        if not n or n > left or reach & goal:
-            continue
-        spare, piece = min(spare, left // n), 1
-        while spare and not reach & goal:
-            k = min(piece, spare)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * n)) & mask
-            spare, piece = spare - k, piece * 2
-    at = reach.bit_length() - 1
+    longest = int(lengths[order[-1]])
+    most = min(int((take * lengths).sum()), (left + 2 * longest + 1) * longest, max(ROOM // unit, left))
+    best, room = None, 0
+    while left:
+        moves, over = _exchange(lengths, counts, take, order, left, room)
+        if best is None or over < best[1]:
+            best = moves, over
+        if not over or room >= most:
+            break
+        room = min(most, max(exact, room * 8))
+    for i, k in best[0] if best else ():
+        take[i] += k
+    return take
+
+
+def _exchange(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, order: list[int], left: int, room: int) -> tuple[list[tuple[int, int]], int]:
+    """Moves (length's place, documents taken or, below 0, put back) that leave the fewest of `left` words, and how many these are.
+
+    At most `room` words are put back in all, first of all, so that no sum in between is above the budget.
+    """
+    goal, reach, steps = room + left, 1 << room, []
+    everything, mask = (1 << room + 1) - 1, (1 << room + left + 1) - 1
+    for sign in (-1, 1):
+        for i in order:
+            n = int(lengths[i])
+            spare, piece = min(int(take[i] if sign < 0 else counts[i] - take[i]), (room if sign < 0 else room + left) // n), 1
+            while spare and not reach >> goal and (sign > 0 or reach != everything):
+                k = min(piece, spare)
+                now = reach | (reach >> k * n if sign < 0 else (reach << k * n) & mask)
+                if now != reach:
+                    steps.append((i, sign * k, reach))
+                    reach = now
+                spare, piece = spare - k, piece * 2
+    at, moves = reach.bit_length() - 1, []
+    over = goal - at
     for i, k, before in reversed(steps):
         if not before >> at & 1:
-            take[i] += k
+            moves.append((i, k))
             at -= k * int(lengths[i])
-    return take
+    return moves, over
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
@@ -134,4 +162,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def op6_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the mix of all sources takes, and how often, in words."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -178,7 +178,7 @@ VECTOR = "uid long, vec_id long, v array<double>, home boolean, leaf long"
 
 
 def usable(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """uid, vec_id, v (double array), and least (whether it can be a neighbour): all vectors that take part.
+    """uid, vec_id, v (double array), least (whether it can be a neighbour), and the cell of a tree of one: all vectors that take part.
 
     Vectors that are null, empty, zero or hold null or non-finite components take none. uid names a row, also among rows
     of one vec_id; of equal vectors only the k + 1 smallest vec_ids can be among anyone's nearest: those are least.
@@ -187,7 +187,8 @@ def usable(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     same = Window.partitionBy("h", "v").orderBy("vec_id")
     rows = rows.where(fine).withColumn("h", F.xxhash64("v")).withColumn("nth", F.row_number().over(same))
-    return rows.select(F.xxhash64("vec_id", "h", "nth").alias("uid"), "vec_id", "v", (F.col("nth") <= k + 1).alias("least"))
+    start = [F.lit(True).alias("home"), F.lit(0).cast("long").alias("leaf")]
+    return rows.select(F.xxhash64("vec_id", "h", "nth").alias("uid"), "vec_id", "v", *start, (F.col("nth") <= k + 1).alias("least"))
 
 
 def _grown(sample: pa.Table) -> pa.Table:
@@ -244,7 +245,6 @@ def _deal(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, Da
     queries go to the children that best-bin-first traversal reaches, as many as calibration asks for; the first is their
     home. A node that can't be split any more (or is full on the last level) stays one, and its rows are dealt to blocks.
     """
-    rows, queries = (df.withColumn("home", F.lit(True)).withColumn("leaf", F.lit(0).cast("long")) for df in (rows, queries))
     stuck = None
     for level in range(LEVELS):
         sizes = written(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "ann-cells")
@@ -352,14 +352,15 @@ def _match(k: int):
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """query_id, rank, vec_id, score, scored, centres: every query's k nearest among rows (uid, vec_id, v).
+    """query_id, rank, vec_id, score, scored, centres: every query's k nearest among rows (uid, vec_id, v, home, leaf).
 
     The index is a table of cells, each with its rows and the tree grown on them; a cell of more than about CELL rows that
     can't be split is several blocks. Every query asks its home cell first; what it finds there is the least that others
     have to offer, and so bounds how far they are searched.
     """
-    queries = queries.select(*[F.col(c).alias(c) for c in ("uid", "vec_id", "v")])  # so that both sides can come of one table
-    placed, routed, sizes = _deal(rows.select("uid", "vec_id", "v"), queries)
+    columns = ("uid", "vec_id", "v", "home", "leaf")
+    # aliases, so that both sides can come of one table
+    placed, routed, sizes = _deal(rows.select(*columns), queries.select(*[F.col(c).alias(c) for c in columns]))
     cut = written(sizes.select("leaf", F.ceil(F.col("n") / CELL).alias("blocks")), "ann-cut")
     dealt = placed.join(cut, "leaf").withColumn("block", F.pmod("uid", "blocks"))
     cells = written(dealt.groupBy("leaf", "block").applyInArrow(_indexed, "leaf long, block long, cell binary"), "ann-index")

@@ -68,6 +68,11 @@ def test_ranks_of_split_classes(spark):
     for k in range(3):
         ranks = sorted(r["rank"] for r in found if r["k"] == k)
         assert ranks == list(range(len(ranks)))
+    whole = ranked(df, ["k"], [F.col("id")], "n").collect()  # one law, however a class is split
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, found))
+    same = spark.range(300).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("id"), F.lit(300).alias("n"))
+    found = ranked(same, ["k"], [F.col("id")], "n", block=50).collect()
+    assert sorted(r["rank"] for r in found) == list(range(300)) and sum(r["id"] for r in found) == 150
 
 
 def test_odd_rows(odd, none):
