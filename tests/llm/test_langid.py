@@ -55,17 +55,70 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
-def test_words_are_pooled_position_by_position():
-    model = g.LanguageModel.fresh(["a", "b"], seed=3)
-    text = "abc defgh abc " + "x" * 60
-    langs, scores = model.predict(pa.array([text]))
-    total, n = np.zeros(2), 0
-    for word in text.encode().split():
-        for i in range(0, len(word), g.SPAN):
-            piece = np.frombuffer(word[i : i + g.SPAN], np.uint8)[None, :]
-            total += model.labels(piece).sum(axis=(0, 1))
-            n += piece.size
-    assert scores[0] == pytest.approx(total.max() / n, abs=1e-5) and langs[0] == ["a", "b"][int(total.argmax())]
+def slow_states(cell: g.Cell, data: bytes) -> list[np.ndarray]:
+    """A gated recurrent unit byte by byte, by its definition."""
+    hid, out = cell.state.shape[0], []
+    h = np.zeros(hid)
+    for c in data:
+        a, b = cell.byte[c].astype(float), h @ cell.state + cell.bias
+        z, r = (1 / (1 + np.exp(-(a[i * hid : (i + 1) * hid] + b[i * hid : (i + 1) * hid]))) for i in (0, 1))
+        h = (1 - z) * np.tanh(a[2 * hid :] + r * b[2 * hid :]) + z * h
+        out.append(h)
+    return out
+
+
+def slow_prediction(model: g.LanguageModel, text: str | None) -> tuple[str, float]:
+    data, total, n, at = (text or "").encode("utf-8"), np.zeros(len(model.languages)), 0, 0
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    while at < len(data):
+        end = min(at + g.SPAN, len(data))
+        begin = max(0, end - g.SPAN)  # the last span ends with the text
+        span = data[begin:end]
+        ahead, behind = slow_states(model.ahead, span), slow_states(model.behind, span[::-1])[::-1]
+        for i in range(at - begin, len(span)):
+            if span[i] >= 128 or chr(span[i]).isalpha():
+                raw = np.concatenate((ahead[i], behind[i])) @ model.out + model.shift
+                total += np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+                n += 1
+        at = end
+    return model.languages[int(total.argmax())], float(total.max() / n)
+
+
+def test_whole_texts_are_read_across_words():
+    model = g.LanguageModel.fresh(["a", "b", "c"], seed=3)
+    texts = ["abc defgh abc " + "x" * 70, "é", "a b", None, "", "12 34", "wörter und " * 9, "a" * g.SPAN, "b" * (g.SPAN + 1)]
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        expected = slow_prediction(model, text)
+        assert lang == expected[0] and score == pytest.approx(expected[1], abs=1e-5)
+    x = np.random.default_rng(0).integers(0, 256, (5, 9))
+    assert np.allclose(model.ahead.run(x), model.ahead.forward(x), atol=1e-6)
+
+
+def test_registered_query_against_brute_force(spark, tmp_path):
+    """op10 over tables of its own: every row by the slow network of the model that it trains, and the held-out rows right."""
+    rows = corpus(160) + [(1000, None, "aa", "s"), (1001, "12 !", "bb", "s"), (None, "lo lo mi", "aa", "s")]
+    docs_of(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = g.op10_byte_bigru(spark, str(tmp_path)).collect()
+    model = g.fit_languages(docs)
+    assert len(found) == len(rows)
+    by, right = {r["doc_id"]: r for r in found}, []
+    for i, text, lang, _ in rows:
+        expected = slow_prediction(model, text)
+        assert by[i]["lang_pred"] == expected[0] and by[i]["score"] == pytest.approx(expected[1], abs=1e-4)
+        assert by[i]["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        if by[i]["held_out"] and i < 1000:
+            right.append(by[i]["lang_pred"] == lang)
+    assert np.mean(right) > 0.9
+
+
+def test_what_is_learned_from(spark):
+    rows = [(i, f"text {i}", "common" if i else "rare", "s") for i in range(300)] + [(400, "other", None, "s")]
+    found = g.training_rows(docs_of(spark, rows), 20).collect()
+    assert len(found) == 20 and "rare" in {r["lang"] for r in found}
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] == f"text {r['doc_id']}" for r in found)
 
 
 def test_odd_rows(spark, odd, none):
