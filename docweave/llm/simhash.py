@@ -17,8 +17,8 @@ from docweave.llm.common import components, row_key, table, written
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Fingerprints that one task takes into its trees, on average.
-SHARD_ROWS = 200_000
+#: Fingerprints of a tree that buckets are cut to, on average; that one task takes into its trees, and one tree at most.
+TREE, SHARD_ROWS = 256, 200_000
 #: Pairs of a query and a tree node that a step of the search looks at, at most (or one query's).
 STEP_PAIRS = 2_000_000
 _HASH_BLOCK = 100_000
@@ -88,17 +88,19 @@ class BKForest:
             child = left[new][np.cumsum(new) - 1]
             parent[left[new]], edge[left[new]] = node[new], d[new]
             left, node = left[~new], child[~new]
+        self.visited = 0  #: nodes that searches have come to
         self.child = np.lexsort((edge, parent))
         self.child = self.child[parent[self.child] >= 0]
         # children lie side by side, by label: a range of labels is a range of positions
         self.key = parent[self.child] * 128 + edge[self.child]
 
-    def within(self, items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (position in items, node) of the item's own tree at most radius apart, following only edges d-radius..d+radius."""
-        who, node = np.arange(len(items)), self.root[items]
+    def within(self, prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (position in prints, node) at most radius apart below the roots given, following only edges d-radius..d+radius."""
+        who, node = np.arange(len(prints)), roots
         found_who, found_node = [], []
         while len(who):
-            d = np.bitwise_count(self.prints[items[who]] ^ self.prints[node]).astype(np.int64)
+            self.visited += len(who)
+            d = np.bitwise_count(prints[who] ^ self.prints[node]).astype(np.int64)
             near = d <= radius
             found_who.append(who[near])
             found_node.append(node[near])
@@ -126,55 +128,106 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-def local_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A link from every item to the first item of its component, items of a group being linked within radius bits."""
-    forest, n = BKForest(group, prints), len(prints)
-    label = np.arange(n)
-    sizes = np.diff(np.concatenate((forest.first, [n])))
-    cost = np.cumsum(np.repeat(sizes, sizes))
+def _found(forest: BKForest, label: np.ndarray, prints: np.ndarray, roots: np.ndarray, own: np.ndarray, radius: int) -> np.ndarray:
+    """label after prints (whose places in it are own) have asked the trees below roots, whose nodes come first in label."""
+    size = np.diff(np.append(forest.first, len(forest.prints)))
+    cost = np.cumsum(size[np.searchsorted(forest.first, roots)])
     at = 0
-    while at < n:
+    while at < len(prints):
         to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + STEP_PAIRS, "right")))
-        who, node = forest.within(np.arange(at, to), radius)
-        label = _join_labels(label, who + at, node)
+        who, node = forest.within(prints[at:to], roots[at:to], radius)
+        label = _join_labels(label, own[who + at], node)
         at = to
-    linked = np.flatnonzero(label != np.arange(n))
-    return linked, label[linked]
+    return label
 
 
-def _blocks(n: int) -> int:
-    """Into how many blocks to cut 64 bits so that buckets of n random fingerprints stay small."""
-    return 5 if n < 1 << 30 else 6
+def local_links(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, int]:
+    """A link from every item to the first item of its component, items of a group being linked within radius bits; nodes visited."""
+    forest, items = BKForest(group, prints), np.arange(len(prints))
+    label = _found(forest, items, prints, forest.root, items, radius)
+    linked = np.flatnonzero(label != items)
+    return linked, label[linked], forest.visited
+
+
+LINKS = "u long, v long, nodes long, visited long"
+
+
+def _links(u: np.ndarray, v: np.ndarray, nodes: int, visited: int) -> pd.DataFrame:
+    """Links, and a row that links nothing and counts what finding them took."""
+    return pd.DataFrame({"u": [*u, 0], "v": [*v, 0], "nodes": [0] * len(u) + [nodes], "visited": [0] * len(u) + [visited]}, dtype=np.int64)
 
 
 def _shard_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole buckets -> the links that their trees find."""
     pdf = pdf.sort_values(["mask", "part", "fp"])
-    group = (pdf["mask"].to_numpy()[1:] != pdf["mask"].to_numpy()[:-1]) | (pdf["part"].to_numpy()[1:] != pdf["part"].to_numpy()[:-1])
-    group, prints = np.concatenate(([0], np.cumsum(group))) if len(pdf) else np.zeros(0, np.int64), pdf["fp"].to_numpy()
-    count = np.bincount(group) if len(pdf) else np.zeros(0, np.int64)
-    full = count[group] > 1
-    group, prints = group[full], prints[full]
-    a, b = local_links(group, prints.view(np.uint64))
-    return pd.DataFrame({"u": prints[a], "v": prints[b]})
-
-
-def link_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """fp (distinct, signed long) -> fp, root: components of fingerprints at most radius bits apart; only those with a link.
-
-    The 64 bits are cut into blocks; two fingerprints within radius bits agree on all but radius of the blocks, so for
-    each choice of the others the fingerprints that agree there form a bucket. Buckets are dealt to shards by a hash,
-    each shard builds its buckets' BK-trees and asks them for every one of its fingerprints. A bucket hands on a star,
-    not its pairs: one link for each fingerprint at most.
+    new = (pdf["mask"].to_numpy()[1:] != pdf["mask"].to_numpy()[:-1]) | (pdf["part"].to_numpy()[1:] != pdf["part"].to_numpy()[:-1])
+    prints = np.ascontiguousarray(pdf["fp"].to_numpy())
+    a, b, visited = local_links(np.concatenate(([0], np.cumsum(new))), prints.view(np.uint64))
+    return _links(prints[a], prints[b], len(prints), visited)
+
+
+def _block_links(tree: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    """A part of a large bucket as one tree, and a block of the bucket's fingerprints that ask it."""
+    if not len(tree) or not len(asking):
+        return _links(np.zeros(0), np.zeros(0), 0, 0)
+    nodes, prints = np.sort(tree["fp"].to_numpy()), np.sort(asking["fp"].to_numpy())
+    forest = BKForest(np.zeros(len(nodes), np.int64), nodes.view(np.uint64))
+    both = np.concatenate((nodes, prints))
+    label = _found(forest, np.arange(len(both)), prints.view(np.uint64), np.zeros(len(prints), np.int64), len(nodes) + np.arange(len(prints)), RADIUS)
+    linked = np.flatnonzero(label != np.arange(len(both)))
+    return _links(both[linked], both[label[linked]], len(nodes), forest.visited)
+
+
+def masks_for(n: int, radius: int = RADIUS, tree: int = TREE) -> list[int]:
+    """Masks of 64 bits such that prints within radius bits agree under one of them, and n random ones share `tree` to a bucket.
+
+    The 64 bits are cut into blocks; radius of them at most can differ, so for each choice of the others two near prints
+    agree there. As many of these bits count as make a bucket of the size wanted: few blocks do while prints are few.
     """
-    n = prints.count()
-    blocks = blocks or _blocks(n)
+    wanted = max(0, (max(1, n) // tree).bit_length() - 1)
+    if not wanted:
+        return [0]
+    blocks = radius + 1
+    while 64 * (blocks - radius) // blocks < wanted and blocks < 2 * radius:
+        blocks += 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in kept) for kept in combinations(range(blocks), blocks - radius)]
-    shards = max(1, -(-n * len(masks) // SHARD_ROWS))
+    masks = []
+    for kept in combinations(range(blocks), blocks - radius):
+        bits = [i for k in kept for i in range(cuts[k], cuts[k + 1])][:wanted]
+        masks.append(sum(1 << i for i in bits))
+    return masks
+
+
+def tree_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = SHARD_ROWS) -> DataFrame:
+    """fp (distinct, signed long) -> u, v: links whose components are those of all pairs at most radius bits apart; nodes, visited.
+
+    Buckets under each mask (see masks_for) are dealt to shards by a hash; a shard builds a BK-tree of each of its buckets
+    and asks it for every one of its fingerprints. A bucket of more than `most` is cut into trees of so many, each of which
+    is asked by the bucket's fingerprints, block by block, so no task holds it whole. A bucket hands on stars, not its
+    pairs: one link for each fingerprint and tree at most. Rows with u = v count: nodes of trees, and nodes visited.
+    """
+    n = prints.count()
+    masks = masks_for(n, radius, tree)
+    shards = max(1, -(-n * len(masks) // most))
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "part"))
     keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("mask", "part"), F.lit(shards)))
-    links = keyed.groupBy("shard").applyInPandas(_shard_links, "u long, v long")
-    return components(links).select(F.col("node").alias("fp"), "root")
+    large = written(keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "simhash-large")
+    if large.isEmpty():
+        return keyed.groupBy("shard").applyInPandas(_shard_links, LINKS)
+    large = large.withColumn("blocks", F.ceil(F.col("n") / most))
+    links = keyed.join(large, ["mask", "part"], "left_anti").groupBy("shard").applyInPandas(_shard_links, LINKS)
+    held = keyed.join(large, ["mask", "part"]).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    trees, asking = held.select("mask", "part", "fp", F.col("own").alias("i"), every.alias("j")), held.select("mask", "part", F.col("fp").alias("fp"), every.alias("i"), F.col("own").alias("j"))
+    keys = ["mask", "part", "i", "j"]
+    asking = asking.select(*[F.col(c).alias(c) for c in ("mask", "part", "fp", "i", "j")])
+    return links.unionByName(trees.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(_block_links, LINKS))
+
+
+def link_fingerprints(prints: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = SHARD_ROWS) -> DataFrame:
+    """fp (distinct, signed long) -> fp, root: components of fingerprints at most radius bits apart; only those with a link."""
+    links = written(tree_links(prints, radius, tree, most), "simhash-links")
+    return components(links.select("u", "v")).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,5 +251,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op2_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that its links lead to."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,7 +46,7 @@ def test_links_of_a_forest(items):
     items = sorted(set(items))
     group = np.array([g for g, _ in items], np.int64)
     prints = np.array([x for _, x in items], np.uint64)
-    a, b = s.local_links(group, prints)
+    a, b, _ = s.local_links(group, prints)
     label = list(range(len(items)))
     for x, y in zip(a.tolist(), b.tolist()):
         label[x] = y
@@ -56,13 +58,15 @@ def test_links_of_a_forest(items):
     assert label == expected
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("tree, most", [(256, 200_000), (8, 200_000), (64, 20)])
+def test_components_against_brute_force(spark, tree, most):
+    """One bucket of all, small buckets under several masks, and buckets that are cut into trees and blocks."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = np.array([int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for x in np.repeat(base, 4)], np.uint64)
     prints = sorted(set(near.tolist()) | {0, (1 << 64) - 1, 7})
     df = spark.createDataFrame([(s._signed(x),) for x in prints], "fp long")
-    found = {r[0]: r[1] for r in s.link_fingerprints(df).collect()}
+    found = {r[0]: r[1] for r in s.link_fingerprints(df, tree=tree, most=most).collect()}
     label = brute_components(prints)
     for i, x in enumerate(prints):
         same = [y for j, y in enumerate(prints) if label[j] == label[i]]
@@ -71,6 +75,25 @@ def test_components_against_brute_force(spark):
             assert found[s._signed(x)] == min(map(s._signed, same))
 
 
+def test_masks():
+    """Whatever three bits differ, two prints agree under a mask; masks hold as many bits as buckets of the size need."""
+    for n in (1, 5_000, 300_000, 10**8, 10**10):
+        masks = s.masks_for(n)
+        for bits in itertools.combinations(range(0, 64, 3), 3):
+            apart = sum(1 << b for b in bits)
+            assert any(m & apart == 0 for m in masks)
+        assert len({m.bit_count() for m in masks}) == 1 and n / 2 ** masks[0].bit_count() < 4 * s.TREE
+
+
+def test_trees_hold_many_prints_and_are_pruned(spark):
+    prints = np.unique(np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 20_000))
+    df = spark.createDataFrame([(int(x),) for x in prints], "fp long")
+    nodes, visited = s.tree_links(df).agg(F.sum("nodes"), F.sum("visited")).first()
+    assert nodes == len(prints) * len(s.masks_for(len(prints)))
+    per_tree = len(prints) / 2 ** s.masks_for(len(prints))[0].bit_count()
+    assert per_tree >= s.TREE and visited < 0.7 * nodes * per_tree
+
+
 def test_odd_rows(odd, none):
     found = [tuple(r) for r in s.near_duplicates(odd).select("doc_id", "fp", "component_id").collect()]
     assert len(found) == odd.count()
