@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import blocks, table, with_text
+from docweave.llm.common import blocks, table, with_text, written
 
 #: Labelled documents that a model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -206,33 +206,45 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic, half -> for each word in how many texts of either half it is, by label: n00, n01, n10, n11."""
     for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
-        seen = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[toxic].update(set(words_of((text or "").encode("utf-8", "surrogatepass"))))
-        words = [w for w in seen[0].keys() | seen[1].keys() if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["word", "n0", "n1"])
-
-
-def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> dict[bytes, float]:
-    """Words that label 1 favours, with the logarithm of the odds: the `limit` surest ones come to the driver."""
-    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    if not n0 or not n1:
-        return {}
-    counts = rows.select("text", "toxic").mapInArrow(_word_counts, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    c, d = F.lit(n1 + 1) - a, F.lit(n0 + 1) - b
-    odds = F.log(a * d / (b * c))
-    sure = odds / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    best = counts.where((F.col("n1") >= SUPPORT) & (F.col("n1") < n1 + 0.5)).select("word", odds.alias("odds"), sure.alias("sure"))
-    return {bytes(r[0]): float(r[1]) for r in best.where(F.col("sure") > CERTAIN).orderBy(F.desc("sure"), "word").limit(limit).collect()}
-
-
-def _feature_rows(lexicon: Lexicon):
+        seen = [Counter() for _ in range(4)]
+        for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
+            seen[2 * half + toxic].update(set(words_of((text or "").encode("utf-8", "surrogatepass"))))
+        words = list(set().union(*seen))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["word", "n00", "n01", "n10", "n11"])
+
+
+def learn_lexicons(rows: DataFrame, limit: int = LEXICON) -> list[dict[bytes, float]]:
+    """Words that label 1 favours, with the logarithm of the odds, by the rows of half 0, of half 1, and of both.
+
+    The `limit` surest ones of each come to the driver. Without rows of both labels there are none.
+    """
+    totals = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
+    sums = [F.sum(n).alias(n) for n in ("n00", "n01", "n10", "n11")]
+    counts = written(rows.select("text", "toxic", "half").mapInArrow(_word_counts, "word binary, n00 long, n01 long, n10 long, n11 long").groupBy("word").agg(*sums), "toxicity-words")
+    found = []
+    for halves in ((0,), (1,), (0, 1)):
+        n0, n1 = (sum(totals.get((h, toxic), 0) for h in halves) for toxic in (0, 1))
+        if not n0 or not n1:
+            found.append({})
+            continue
+        held = [sum((F.col(f"n{h}{toxic}") for h in halves), F.lit(0)) for toxic in (0, 1)]
+        a, b = held[1] + 0.5, held[0] + 0.5
+        c, d = F.lit(n1 + 1) - a, F.lit(n0 + 1) - b
+        odds = F.log(a * d / (b * c))
+        sure = odds / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        best = counts.where((held[1] >= SUPPORT) & (held[1] < n1 + 0.5)).select("word", odds.alias("odds"), sure.alias("sure"))
+        found.append({bytes(r[0]): float(r[1]) for r in best.where(F.col("sure") > CERTAIN).orderBy(F.desc("sure"), "word").limit(limit).collect()})
+    return found
+
+
+def _feature_rows(lexicons: list[Lexicon]):
+    """Features of every text by each lexicon, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in blocks(whole, 0, BLOCK)):
-            x = [features(t, lexicon) for t in batch.column(0).to_pylist()]
+            x = [[v for lexicon in lexicons for v in features(t, lexicon)] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "half"])
 
     return run
@@ -241,25 +253,29 @@ def _feature_rows(lexicon: Lexicon):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """A model of labels.toxic from at most `sample` labelled documents, none of them held out.
 
-    Trees fitted on either half score the other half; the calibration is fitted on those scores, the final trees on
-    both halves. Without rows of both labels every score is the share of label 1 (0 without labels).
+    Trees fitted on either half, with the lexicon of that half alone, score the other half, whose labels neither has
+    seen; the calibration is fitted on those scores, the final lexicon and trees on both halves. Without rows of both
+    labels every score is the share of label 1 (0 without labels).
     """
-    rows = training_rows(docs, labels, sample)
-    lexicon = Lexicon(learn_lexicon(rows))
-    found = rows.mapInArrow(_feature_rows(lexicon), "x array<double>, toxic int, half int").collect()
+    rows = written(training_rows(docs, labels, sample), "toxicity-sample")
+    lexicons = [Lexicon(words) for words in learn_lexicons(rows)]
+    found = rows.mapInArrow(_feature_rows(lexicons), "x array<double>, toxic int, half int").collect()
     found.sort(key=lambda r: (r[2], r[1], r[0]))  # the same fit whatever the order of arrival
     y = np.array([r[1] for r in found], float)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(lexicon, None, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    x, half = np.array([r[0] for r in found]), np.array([r[2] for r in found])
+        return ToxicityModel(lexicons[2], None, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.0)
+    x, half = np.array([r[0] for r in found]).reshape(len(y), 3, -1), np.array([r[2] for r in found])
     out = np.zeros(len(y))
     for k in (0, 1):
-        inside, outside = half != k, half == k
-        if y[inside].min(initial=1) == y[inside].max(initial=0) or not outside.any():
-            inside = np.ones(len(y), bool)
-        out[outside] = Trees().fit(x[inside], y[inside]).raw(x[outside])
+        own, other = half == k, half != k
+        if not own.any():
+            continue
+        if y[other].min(initial=1) == y[other].max(initial=0):  # too few rows to keep the halves apart
+            out[own] = Trees().fit(x[:, 2], y).raw(x[own, 2])
+        else:
+            out[own] = Trees().fit(x[other, 1 - k], y[other]).raw(x[own, 1 - k])
     knots, heights = isotonic(out, y)
-    return ToxicityModel(lexicon, Trees().fit(x, y), knots, heights, float(y.mean()))
+    return ToxicityModel(lexicons[2], Trees().fit(x[:, 2], y), knots, heights, float(y.mean()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -283,6 +299,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
 
 def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of the labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("doc_id", F.col("doc_id").cast("long"))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
