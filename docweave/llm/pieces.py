@@ -175,7 +175,14 @@ class Pieces:
         end = (begin + size)[word]
         lead = (buf & 0xC0) != 0x80
         start, end_of, id_of = self._matches(buf, lead, end)
-        return self._best(buf, begin, size, word, start, end_of, id_of)
+        # where no piece goes on, a word's best path is the best paths of the parts before and after
+        over = np.cumsum(np.bincount(start + 1, minlength=len(buf) + 1) - np.bincount(end_of, minlength=len(buf) + 1))
+        parts = np.flatnonzero(lead & (over[: len(buf)] == 0))
+        parts = np.union1d(parts, begin[size > 0])
+        part = np.zeros(len(buf), np.int64)
+        part[parts] = 1
+        ids, counts = self._best(buf, parts, np.diff(np.append(parts, len(buf))), np.cumsum(part) - 1, start, end_of, id_of)
+        return ids, np.bincount(word[parts], counts, len(words)).astype(np.int64)
 
     def _matches(self, buf, lead, end):
         """Every piece found at every character: first byte, byte after the last, id; unknown characters included."""
@@ -266,16 +273,16 @@ class Pieces:
         if not self.runs_only:
             raise ValueError("the vocabulary has pieces that go on after a marker")
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = not self.dummy_prefix  # words then come with their own markers, or without one at a text's start
         words = pc.split_pattern(texts, " ")
         odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))).to_numpy(zero_copy_only=False)
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        if not self.dummy_prefix:
-            odd[:] = True
+        odd = odd | whole
         if odd.any() or empty.any():
             split = words.to_pylist()
             for i in np.flatnonzero(odd).tolist():
                 text = texts[i].as_py()
-                split[i] = [w[1:] if w.startswith(" ") else "\0" + w for w in re.findall(" +[^ ]*|[^ ]+", (" " if self.dummy_prefix else "") + text)]
+                split[i] = [w if whole else w[1:] for w in re.findall(" +[^ ]*|[^ ]+", text if whole else " " + text)]
             for i in np.flatnonzero(empty).tolist():
                 split[i] = []
             words = pa.array(split, pa.large_list(pa.large_string()))
@@ -286,8 +293,7 @@ class Pieces:
         different = coded.dictionary.to_pylist()
         ids, counts, held, size = [], [], [], 0
         for w in different:
-            # a word without a marker before it was given a zero byte, which no text word starts with after a space
-            data = w[1:].encode() if w[:1] == "\0" and not self.dummy_prefix else (MARK + w.replace(" ", MARK)).encode()
+            data = (("" if whole else MARK) + w.replace(" ", MARK)).encode()
             held.append(data)
             size += len(data)
             if size > WORD_BLOCK:
@@ -355,6 +361,7 @@ def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def piece_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """round_trip() in numbers and digests."""
     out = round_trip(docs, pieces)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.xxhash64("ids").alias("ids_hash"),
@@ -363,4 +370,5 @@ def piece_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, counted and digested, and what decoding them gives."""
     return piece_counts(table(spark, sf_dir, "documents"), Pieces.load())

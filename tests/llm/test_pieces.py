@@ -92,6 +92,23 @@ def test_round_trip(texts):
     assert [x.decode() for x in PIECES.decode_batch(ids, counts)] == texts
 
 
+@pytest.mark.parametrize("text", ["a \0b", "\0", " lead", "two  spaces ", "a", "\0\0 \0", "日本 語"])
+def test_without_a_prefix(text):
+    """A vocabulary that puts no marker in front: zero bytes and leading spaces come back as they were."""
+    own = p.Pieces(PIECES.names, PIECES.scores, PIECES.types, dummy_prefix=False)
+    assert own.decode(own.encode(text)) == text
+    assert own.encode("b" + text) != PIECES.encode("b" + text)
+
+
+def test_unbroken_text_is_cut_only_where_no_piece_goes_on():
+    text = "▁" + "".join("日本éxyzabcthe"[(i * i) % 14] for i in range(3000))
+    ids, counts = PIECES.encode_words([text.encode(), "▁the".encode()])
+    total = sum(PIECES.scores[i] for i in ids[: counts[0]] if not PIECES.is_byte[i])
+    unknown = [c for c in text if c not in PIECES.names]
+    assert total + PIECES.unknown_score * len(unknown) == pytest.approx(brute(PIECES, text))
+    assert ids[counts[0] :].tolist() == PIECES.encode("the")
+
+
 def test_double_array_finds_every_key_and_no_other():
     keys = {bytes([a, b]): a * 256 + b for a in range(0, 256, 5) for b in range(0, 256, 7)} | {b"\xff": 1, b"abcdefgh": 2}
     trie = p.DoubleArray.build(keys)
