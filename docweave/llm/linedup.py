@@ -46,61 +46,64 @@ def keyed_lines(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 class LineRuns:
     """Levelled sorted runs of line digests in a shared folder.
 
-    A run is a Parquet table (key, docs, last) sorted by key within its files: how many documents of the run's batches
-    hold the line and the largest id among them. Batches must hold different documents, so that counts add up. add()
-    puts a batch's own run on level 0; when a level has `fanout` runs, they are merged into one run on the next level,
-    so a digest is rewritten once for each level and there are at most `fanout` - 1 runs on each. The list of runs is
-    one small JSON value in memory, saved by describe(); runs are never changed once written, so a lost executor or a
-    failed job leaves a whole state behind.
+    A run is a Parquet table (key, docs, last) sorted by key within its files: how many documents of a batch hold the line
+    and the largest id among them. Batches must hold different documents, so that counts add up. add() merge-anti-joins a
+    batch with the runs: keys that no run holds become the batch's own run on level 0, so a key is in one run only; keys
+    that one holds already go, with their counts, to the repeats. When a level has `fanout` runs, they are merged into one
+    run on the next level, so a digest is rewritten once for each level and there are at most `fanout` - 1 runs on each.
+    The list of runs is one small JSON value in memory, saved by describe(); runs are never changed once written, so a
+    lost executor or a failed job leaves a whole state behind.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, levels: list[list[str]] | None = None):
+    SCHEMA = "key binary, docs long, last long"
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, levels: list[list[str]] | None = None, repeats: list[str] | None = None):
         self.spark, self.fanout = spark, fanout
-        self.levels = levels or [[]]
+        self.levels, self.repeated = levels or [[]], repeats or []
         self.folder = shared_dir(spark)
 
-    SCHEMA = "key binary, docs long, last long, fresh boolean"
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+    def _path(self, name: str) -> str:
+        return f"{self.folder.rstrip('/')}/line-{name}-{uuid.uuid4().hex}"
 
     def _put(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.folder.rstrip('/')}/line-run-{level}-{uuid.uuid4().hex}"
+        path = self._path(f"run-{level}")
         rows.sortWithinPartitions("key").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(self._merged(self.spark.read.schema(self.SCHEMA).parquet(*full)), level + 1)
+            # no key is in two runs: merging them is putting their rows in one order
+            self._put(self._read(full).repartition("key"), level + 1)
         return path
 
     def rows(self) -> DataFrame:
-        """key, docs, last, fresh over all runs, one row for each key."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self._merged(self.spark.read.schema(self.SCHEMA).parquet(*paths))
+        """key, docs, last over all batches, one row for each key: what the runs hold, and the repeats of it."""
+        more = self._read(self.repeated).groupBy("key").agg(F.sum("docs").alias("__docs"), F.max("last").alias("__last"))
+        held = self._read([p for level in self.levels for p in level]).join(more, "key", "left")
+        return held.select("key", (F.col("docs") + F.coalesce("__docs", F.lit(0))).alias("docs"), F.greatest("last", "__last").alias("last"))
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Takes in a batch, (id, key) with each pair once, of documents that no earlier batch held.
 
-        The batch's keys merge-anti-join the runs; its own run marks as fresh those that no earlier run had. Returns
-        the fresh keys, which is what a feed that only wants lines never seen before goes by.
+        Returns the fresh keys, those that no earlier batch had, which is what a feed that only wants new lines goes by.
         """
         batch = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
         held = [p for level in self.levels for p in level]
-        if held:
-            seen = self.spark.read.schema(self.SCHEMA).parquet(*held).select("key").distinct()
-            seen = seen.withColumn("held", F.lit(True))
-            own = batch.join(seen.hint("merge"), "key", "left").select("key", "docs", "last", F.col("held").isNull().alias("fresh"))
-        else:
-            own = batch.withColumn("fresh", F.lit(True))
-        path = self._put(own, 0)
-        return self.spark.read.schema(self.SCHEMA).parquet(path).where("fresh").select("key")
+        if not held:
+            return self._read([self._put(batch, 0)]).select("key")
+        batch = written(batch, "line-batch")
+        seen = self._read(held).select("key")
+        path = self._path("repeats")
+        batch.join(seen.hint("merge"), "key", "left_semi").write.parquet(path)
+        self.repeated.append(path)
+        return self._read([self._put(batch.join(seen.hint("merge"), "key", "left_anti"), 0)]).select("key")
 
     def describe(self) -> str:
-        return json.dumps({"fanout": self.fanout, "levels": self.levels})
+        return json.dumps({"fanout": self.fanout, "levels": self.levels, "repeats": self.repeated})
 
 
 def _rebuild(schema: T.StructType, kept: int, text_at: int):
@@ -151,6 +154,7 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = M
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines before and after dedup, and a digest of what stays."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc_id").cast("long"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
