@@ -17,6 +17,7 @@ from docweave.operators.scan import after
 from docweave.operators.search import Searcher, SearchRequest, Sort, sort_order
 from docweave.plans import denorm
 from docweave.plans.schema import document_schema, schema_diff
+from docweave.sources import files
 from docweave.sources.registry import Sources, parquet_tables
 
 CONFIG = """
@@ -488,6 +489,24 @@ def t_federated_filters(spark, sf_dir):
     return _federated(spark, sf_dir, "", ("part", "item", "supplier"), resource_filters={"part": (Filter("fields.size", "eq", "5"),)}).counts
 
 
+def _fed_hits(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        request = FederatedRequest("moron disgusting", _FED, mode=mode, page=1, page_size=12)
+        return federated_search(searcher(spark, sf_dir), request).hits.select("resource", "id", F.round("score", 4).alias("score"))
+
+    return run
+
+
+def _fed_hits_sql(local: bool) -> str:
+    rows = _scored_sql(f"{_PART_SQL} UNION ALL {_ITEM_SQL} UNION ALL {_DOCS_SQL}", "moron disgusting", local, None).replace("round(round(", "round((", 1).replace(", 6), 4) AS score", "), 6) AS score", 1)
+    return f"SELECT resource, id, round(score, 4) AS score FROM (SELECT * FROM ({rows}) ORDER BY score DESC, resource || '_search', id LIMIT 12 OFFSET 12)"
+
+
+for _mode, _local in (("single-dfs", False), ("single", True), ("fanout", True)):
+    QUERIES[f"t_federated_hits_{_mode.replace('-', '_')}"] = _fed_hits(_mode)
+    ORACLES[f"t_federated_hits_{_mode.replace('-', '_')}"] = _fed_hits_sql(_local)
+
+
 def _secondary(scope: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _federated(spark, sf_dir, "nicht", ("talk",), secondary_scope=scope).matches.select("id")
@@ -504,6 +523,72 @@ QUERIES["t_secondary"], ORACLES["t_secondary"] = _secondary(""), _secondary_sql(
 QUERIES["t_secondary_scope"], ORACLES["t_secondary_scope"] = _secondary("user"), _secondary_sql("user")
 
 
+def _secondary_scored_sql(query_: str, scope: str = "") -> str:
+    """Every talk's score: the mean over its matching turns, with statistics over the turns of a talk taken together."""
+    qw, qg = text.query_words(query_), text.query_grams(query_)
+    terms = list(dict.fromkeys(qw + qg))
+    df = lambda c: "MAP {" + ", ".join(f"'{t}': sum(CAST(list_contains({c}, '{t}') AS INT))" for t in terms) + "}"
+    rows = "SELECT CAST(conv_id AS VARCHAR) AS id, role, text AS first FROM conversations"
+    score = f"greatest(3.0 * {_bm25_sql('w', qw, 's')}, 1.0 * {_bm25_sql('g', qw, 's')}) + CASE WHEN list_has_all(g, {_list(qg)}) THEN {_bm25_sql('g', qg, 's')} ELSE 0.0 END"
+    return (
+        f"WITH e AS ({_analysed_sql(rows)}), d AS (SELECT id, flatten(list(w)) AS w, flatten(list(g)) AS g FROM e GROUP BY id), "
+        f"s AS (SELECT count(*) AS n, avg(len(w)) AS mean_w, avg(len(g)) AS mean_g, {df('w')} AS df_w, {df('g')} AS df_g FROM d) "
+        f"SELECT id, round(round(avg({score}), 6), 4) AS score FROM e, s WHERE {_match_sql('w', 'g', query_)}" + (f" AND role = '{scope}'" if scope else "") + " GROUP BY id"
+    )
+
+
+@query("t_secondary_scores", _secondary_scored_sql("nicht"))
+def t_secondary_scores(spark, sf_dir):
+    return _federated(spark, sf_dir, "nicht", ("talk",)).matches.select("id", F.round("score", 4).alias("score"))
+
+
+@query("t_secondary_scope_scores", _secondary_scored_sql("nicht wir", "user"))
+def t_secondary_scope_scores(spark, sf_dir):
+    return _federated(spark, sf_dir, "nicht wir", ("talk",), secondary_scope="user").matches.select("id", F.round("score", 4).alias("score"))
+
+
+_REFUSED = (
+    ("a range of a keyword", Filter("fields.status", "gt", "F")), ("a part of a number", Filter("fields.total", "prefix", "1")), ("a list for one value", Filter("fields.status", "eq", values=("F",))),
+    ("one value for a list", Filter("fields.status", "in", "F")), ("a value of presence", Filter("fields.status", "exists", "F")), ("an unknown field", Filter("fields.none", "eq", "F")),
+    ("a negated reference", Filter("customer.segment", "neq", "BUILDING")), ("a word as a number", Filter("fields.total", "gte", "many")), ("nested rows that aren't", Filter("fields.status", "eq", "F", nested_path="fields")),
+    ("an unknown operator", Filter("fields.status", "like", "F")), ("a plain filter", Filter("fields.status", "eq", "F")), ("no field", Filter("", "like", "F")),
+)
+
+
+@query("f_refusals", "SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', {str(n not in ('a plain filter', 'no field')).lower()})" for n, _ in _REFUSED) + ") AS t(filter, refused)")
+def f_refusals(spark, sf_dir):
+    """Which filters on orders are refused before anything runs."""
+    from docweave.errors import InvalidArgument
+
+    def refused(f: Filter) -> bool:
+        try:
+            searcher(spark, sf_dir).matches(SearchRequest("order", filters=(f,)))
+        except InvalidArgument:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, refused(f)) for n, f in _REFUSED], "filter string, refused boolean")
+
+
+@query("j_reference_ceiling", "SELECT c_mktsegment AS segment, count(*) > 290 AS refused FROM customer GROUP BY c_mktsegment")
+def j_reference_ceiling(spark, sf_dir):
+    """A reference is refused by how many children pass, here by customers of a segment."""
+    from docweave.errors import InvalidArgument
+
+    limited = searcher(spark, sf_dir)
+    limited.ceiling = 290
+
+    def refused(segment: str) -> bool:
+        try:
+            limited.matches(SearchRequest("order", filters=(Filter("customer.segment", "eq", segment),)))
+        except InvalidArgument:
+            return True
+        return False
+
+    segments = [r[0] for r in parquet_tables(spark, sf_dir)("customer").select("c_mktsegment").distinct().collect()]  # five
+    return spark.createDataFrame([(x, refused(x)) for x in segments], "segment string, refused boolean")
+
+
 # change propagation
 
 _KIND = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END"
@@ -551,6 +636,13 @@ def c_fanout(spark, sf_dir):
     return st.fan_out(changed, _edges(spark, sf_dir))
 
 
+@query("c_second_fanout", "SELECT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_custkey % 3 <> 0")
+def c_second_fanout(spark, sf_dir):
+    """Parents by the edges after a commit, less those that the commit marked."""
+    edges = _edges(spark, sf_dir)
+    return st.missed_parents(spark.createDataFrame([("region", "1")], "type string, id string"), edges.where(F.col("id").cast("int") % 3 == 0), edges)
+
+
 @query(
     "c_edges_union",
     "SELECT ctype, count(*) AS n FROM (SELECT DISTINCT c_custkey, 'nation' AS ctype, c_nationkey AS cid FROM customer UNION ALL SELECT DISTINCT c_custkey, 'region', n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey "
@@ -665,19 +757,6 @@ def r_reverse_sweep(spark, sf_dir):
     return missing(orders, orders.where(F.col("id").cast("long") % 7 != 0)).select("id")
 
 
-@query(
-    "r_probe_pass",
-    f"WITH s AS ({_STATE_SQL}) SELECT id, CAST(id AS BIGINT) NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0) AS gone FROM s WHERE CAST(id AS INT) % 11 <> 0 AND CAST(id AS INT) % 3 = 0 AND CAST(id AS INT) % 2 = 1",
-)
-def r_probe_pass(spark, sf_dir):
-    """Uncovered rows: those that the source doesn't return lose their document, the others are built."""
-    state = _state(spark, sf_dir)
-    sets = state.where(F.col("id").cast("int") % 2 == 0).select("type", "id", F.lit(1).alias("schema_version"))
-    rows = st.uncovered(state, sets, "order", 1)
-    listed = sources(spark, sf_dir).listing("order").where(F.col("id").cast("long") % 4 != 0).select("id", F.lit(False).alias("gone"))
-    return rows.join(listed, "id", "left").select("id", F.coalesce("gone", F.lit(True)).alias("gone"))
-
-
 @query("r_reconcile", "SELECT id, outcome FROM (VALUES ('a', 'doc'), ('b', 'nil'), ('c', 'err')) AS t(id, outcome)")
 def r_reconcile(spark, sf_dir):
     from docweave.operators.repair import reconcile
@@ -689,13 +768,11 @@ def r_reconcile(spark, sf_dir):
 @query("s_stream_gate", _GATE_SQL)
 def s_stream_gate(spark, sf_dir):
     """The version gate over a stream that is read to its end in one micro-batch."""
-    import tempfile
     import uuid
 
     from docweave.streaming.driver import gate_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docweave-")).rstrip("/")
-    base = f"{base}/gate-{uuid.uuid4().hex}"
+    base = f"{files.shared_base(spark)}/gate-{uuid.uuid4().hex}"
     notifications(spark, sf_dir).select("type", "id", "ord", "kind", "version").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("type string, id string, ord long, kind string, version long").parquet(f"{base}/in")
     run = gate_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
@@ -736,15 +813,6 @@ def m_schema_diff(spark, sf_dir):
     return schema_diff(spark, document_schema(customer.version(2)), document_schema(customer.version(1)))
 
 
-@query("m_doc_gap", "SELECT count(*) FILTER (o_orderkey % 10 <> 0) - count(*) AS gap FROM orders")
-def m_doc_gap(spark, sf_dir):
-    docs = documents(spark, sf_dir, "order")
-    target = docs.where(F.col("id").cast("long") % 10 != 0)
-    return target.agg(F.count(F.lit(1)).alias("t")).join(docs.agg(F.count(F.lit(1)).alias("c"))).select((F.col("t") - F.col("c")).alias("gap"))
-
-
-
-
 # sources, state folds and stores
 
 
@@ -836,6 +904,60 @@ def c_finish(spark, sf_dir):
     return st.finish(state, state.select("type", "id", seen.alias("seen"), F.lit(77).cast("long").alias("build_idx"))).select("id", "stale_seq", "stale_since", "build_idx")
 
 
+@query(
+    "c_begin_delete",
+    f"WITH s AS ({_STATE_SQL}) SELECT id, CAST(id AS INT) % 11 <> 0 AS superseded, CAST(CASE WHEN CAST(id AS INT) % 11 = 0 THEN 5001 + CAST(id AS INT) ELSE 0 END AS BIGINT) AS build_idx, "
+    "CASE WHEN CAST(id AS INT) % 11 = 0 AND CAST(id AS INT) % 2 = 0 THEN 99.0 ELSE 1.0 END AS owner_since FROM s",
+)
+def c_begin_delete(spark, sf_dir):
+    """Only what is still a tombstone is begun; a token that owns its row renews the lease."""
+    state = _state(spark, sf_dir).withColumn("owner_seq", F.col("change_seq")).withColumn("owner_since", F.lit(1.0))
+    token = F.when(F.col("id").cast("int") % 2 == 0, F.col("owner_seq")).otherwise(F.lit(-1).cast("long"))
+    asked = state.select("type", "id", token.alias("token"), F.col("id").cast("long").alias("nth"))
+    return st.begin_delete(state, asked, 5000, 99.0).select("id", "superseded", "build_idx", "owner_since")
+
+
+@query(
+    "c_guarded_delete",
+    f"WITH s AS ({_STATE_SQL}) SELECT id, CAST(id AS INT) % 2 = 0 AS removed, CAST(id AS INT) % 2 = 1 AND CAST(id AS INT) % 3 = 0 AS follow_up, "
+    "CASE WHEN CAST(id AS INT) % 2 = 1 AND CAST(id AS INT) % 3 = 0 THEN change_seq ELSE 7 END AS owner_seq, CAST(CASE WHEN CAST(id AS INT) % 2 = 1 THEN 0 ELSE attempts END AS INT) AS attempts FROM s",
+)
+def c_guarded_delete(spark, sf_dir):
+    """Rows marked again since they were seen stay; their owner, if it is the caller, owns the follow-up."""
+    state = _state(spark, sf_dir).withColumn("owner_seq", F.lit(7).cast("long")).withColumn("owner_since", F.lit(1.0))
+    seen = F.when(F.col("id").cast("int") % 2 == 0, F.col("stale_seq")).otherwise(F.col("stale_seq") - 1)
+    token = F.when(F.col("id").cast("int") % 3 == 0, 7).otherwise(8).cast("long")
+    found = st.guarded_delete(state, state.select("type", "id", seen.alias("seen"), token.alias("token")), 99.0)
+    return found.select("id", "removed", "follow_up", "owner_seq", F.col("sweep_attempts").alias("attempts"))
+
+
+_WALK = "SELECT event_id // 3 AS id, CASE WHEN event_type IN ('signup', 'click') THEN 1 ELSE 2 END AS version, CASE WHEN value > 50 THEN 'doc' ELSE 'nil' END AS outcome FROM events"
+
+
+@query(
+    "r_walk_outcomes",
+    f"WITH a AS ({_WALK}), v AS (SELECT id, version, count(DISTINCT outcome) AS n, max(CAST(outcome = 'doc' AS INT)) AS doc FROM a GROUP BY id, version) "
+    "SELECT id, CASE WHEN max(n) > 1 THEN 'contradicts' WHEN min(version) > 1 THEN 'partial' WHEN count(*) < 2 THEN 'incomplete' WHEN max(doc) = 1 THEN 'built' ELSE 'left' END AS outcome FROM v GROUP BY id",
+)
+def r_walk_outcomes(spark, sf_dir):
+    """What a walk over two versions' listings settles, events standing for their answers."""
+    from docweave.operators.repair import walk_outcomes
+
+    events = parquet_tables(spark, sf_dir)("events")
+    version = F.when(F.col("event_type").isin("signup", "click"), 1).otherwise(2)
+    answers = events.select(F.expr("event_id div 3").alias("id"), version.alias("version"), F.when(F.col("value") > 50, "doc").otherwise("nil").alias("outcome"))
+    return walk_outcomes(answers, [1, 2], False)
+
+
+@query("r_first_report", "SELECT event_id // 3 AS id, arg_min(event_type, event_id % 3) FILTER (event_type <> 'error') AS kind FROM events GROUP BY 1")
+def r_first_report(spark, sf_dir):
+    from docweave.operators.repair import first_reports
+
+    told = F.when(F.col("event_type") == "error", F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("kind"), F.col("event_type")))
+    answers = parquet_tables(spark, sf_dir)("events").select(F.expr("event_id div 3").alias("id"), (F.col("event_id") % 3).alias("version"), told.alias("metadata"))
+    return first_reports(answers).select("id", F.col("metadata")["kind"].alias("kind"))
+
+
 @query("r_merge_versions", "SELECT * FROM (VALUES ('a', 1, 0, 'late'), ('b', 0, 1, 'unanswered'), ('c', 2, 0, NULL)) AS t(id, docs, nils, first_error)")
 def r_merge_versions(spark, sf_dir):
     from docweave.operators.repair import merge_versions
@@ -859,15 +981,13 @@ def m_alias_moves(spark, sf_dir):
     return spark.createDataFrame([(t, classify_move("a", [x for x in t.split(",") if x], 2)) for t in cases], "targets string, move string")
 
 
-def _engine(spark: SparkSession, sf_dir: str, types: tuple[str, ...]):
+def _engine(spark: SparkSession, sf_dir: str, types: tuple[str, ...], keep: dict | None = None):
     """An engine in a folder of its own, with all rows of some types registered and built."""
-    import tempfile
     import uuid
 
     from docweave.operators.engine import Engine
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docweave-")).rstrip("/")
-    engine = Engine(spark, config(), sources(spark, sf_dir), f"{base}/engine-{uuid.uuid4().hex}", clock=lambda: 0.0)
+    engine = Engine(spark, config(), sources(spark, sf_dir), f"{files.shared_base(spark)}/engine-{uuid.uuid4().hex}", keep=keep or {}, clock=lambda: 0.0)
     for t in types:
         rows = engine.sources.listing(t)
         engine.register(rows.select(F.lit("created").alias("kind"), F.lit(t).alias("type"), "id", F.create_map().cast("map<string,string>").alias("metadata"), F.lit(1).cast("long").alias("version")))
@@ -917,3 +1037,65 @@ def e_reverse_sweep(spark, sf_dir):
     engine.sources.add("region", all_rows.where(F.col("id").cast("int") < 3))
     reverse_sweep(engine, "region")
     return engine.state().where(F.col("stale_seq").isNotNull()).select("type", "id")
+
+
+@query("r_probe_pass", "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey < 4 THEN 'excluded' WHEN n_nationkey < 10 THEN 'marked' ELSE 'kept' END AS outcome FROM nation")
+def r_probe_pass(spark, sf_dir):
+    """Rows without an edge set: those that the source doesn't return lose their document, the others are marked."""
+    from docweave.operators.repair import probe_pass
+
+    engine = _engine(spark, sf_dir, ("nation",))
+    number, rows = F.col("id").cast("int"), engine.sources.listing("nation")
+    engine.edge_log.append(engine.edge_sets().where((F.col("type") == "nation") & (number < 10)).withColumn("deleted", F.lit(True)))
+    engine.sources.add("nation", rows.where(number >= 4))
+    probe_pass(engine, "nation", 1)
+    docs = engine.store.documents("nation", 1).select("id", F.lit(True).alias("there"))
+    found = engine.state().where("type = 'nation'").join(docs, "id", "left")
+    return found.select("id", F.when(F.col("stale_seq").isNotNull(), "marked").when(F.col("there"), "kept").otherwise("excluded").alias("outcome"))
+
+
+def _gapped(spark: SparkSession, sf_dir: str):
+    """An engine with customers built in both versions, the second of which lacks every tenth of them."""
+    return _engine(spark, sf_dir, ("customer",), {("customer", 2): lambda docs: F.col("id").cast("int") % 10 != 0})
+
+
+@query("m_doc_gap", "SELECT count(*) FILTER (c_custkey % 10 <> 0) - count(*) AS gap FROM customer")
+def m_doc_gap(spark, sf_dir):
+    from docweave.operators.migrate import doc_gap
+
+    return spark.createDataFrame([(doc_gap(_gapped(spark, sf_dir), "customer", 2),)], "gap long")
+
+
+@query(
+    "e_readiness_refused",
+    "SELECT gate, ok, detail FROM (SELECT 'alias-state' AS gate, true AS ok, 'forward' AS detail UNION ALL SELECT 'target-index', true, 'customer_search_v2' UNION ALL SELECT 'coverage', true, '0 of ' || count(*) || ' rows uncovered' FROM customer "
+    "UNION ALL SELECT 'doc-gap', count(*) FILTER (c_custkey % 10 = 0) = 0, '-' || count(*) FILTER (c_custkey % 10 = 0) || ' documents' FROM customer "
+    "UNION ALL SELECT 'stale-backlog', count(*) = 0, count(*) || ' rows wait' FROM customer WHERE c_nationkey = 3)",
+)
+def e_readiness_refused(spark, sf_dir):
+    """A version that lacks documents while rows wait for a build isn't ready."""
+    from docweave.operators.migrate import cutover_readiness
+
+    engine = _gapped(spark, sf_dir)
+    engine.mark(engine.sources.listing("customer").where("nation_id = '3'").select(F.lit("customer").alias("type"), "id"))
+    return cutover_readiness(engine, "customer", 2)
+
+
+@query(
+    "e_targeted_rebuild",
+    "SELECT 'v1 after' AS what, count(*) FILTER (c_custkey % 50 <> 0) AS n FROM customer UNION ALL SELECT 'v2 after', count(*) FROM customer UNION ALL SELECT 'marked', count(*) FILTER (c_custkey % 50 = 0) FROM customer "
+    "UNION ALL SELECT 'v2 settled', count(*) FILTER (c_custkey % 50 <> 0) FROM customer UNION ALL SELECT 'rows settled', count(*) FILTER (c_custkey % 50 <> 0) FROM customer",
+)
+def e_targeted_rebuild(spark, sf_dir):
+    """A rebuild of one version deletes its documents of what is gone and leaves the rows to a build that asks all versions."""
+    from docweave.operators.repair import rebuild
+
+    engine = _engine(spark, sf_dir, ("customer",))
+    rows = engine.sources.listing("customer")
+    engine.sources.add("customer", rows.where(F.col("id").cast("int") % 50 != 0))
+    rebuild(engine, "customer", rows.where(F.col("id").cast("int") % 25 == 0).select("id"), [1])
+    marked = lambda: engine.state().where("type = 'customer' and stale_seq is not null").count()
+    counts = [("v1 after", engine.store.count("customer", 1)), ("v2 after", engine.store.count("customer", 2)), ("marked", marked())]
+    engine.run_until_settled()
+    counts += [("v2 settled", engine.store.count("customer", 2)), ("rows settled", engine.state().where("type = 'customer'").count())]
+    return spark.createDataFrame(counts, "what string, n long")

@@ -195,11 +195,21 @@ def _sure(test: Column) -> Column:
 
 
 def predicate(f: Filter, version: Version, schema: T.StructType) -> Column:
-    """A filter outside scoped blocks. A null value passes a negation; over an array of rows a negation says of no row."""
+    """A filter outside scoped blocks. A null value passes a negation; over an array of rows a negation says of no row.
+
+    Rows are those of the field's relation, or of an explicit nested_path, which wins: it must name nested rows, and a field
+    that isn't theirs is one that none of them has.
+    """
     head, _, name = f.field.partition(".")
     field, _ = resolve(version, f.field)
     holder = schema[head].dataType
     negative = f.op in NEGATIONS
+    if f.nested_path and f.nested_path != head:
+        if f.nested_path not in schema.fieldNames() or not isinstance(schema[f.nested_path].dataType, T.ArrayType):
+            raise InvalidArgument(f"there are no nested rows at {f.nested_path!r}")
+        return F.lit(negative)
+    if f.nested_path and not isinstance(holder, T.ArrayType):
+        raise InvalidArgument(f"there are no nested rows at {f.nested_path!r}")
     if isinstance(holder, T.ArrayType):
         inner = holder.elementType[name].dataType
         test = F.exists(F.col(head), lambda row: _sure(_test(field, f, row[name], inner)))

@@ -63,7 +63,9 @@ class Engine:
         return at
 
     def set_config(self, config: Config, sources: Sources | None = None) -> None:
-        """Swaps plans and configuration; what was checked when the configuration was made holds from the next step on."""
+        """Swaps plans and configuration; every type must have a source. What was checked when it was made holds from the next step on."""
+        for r in config.resources:
+            (sources or self.sources).check(r.type)
         self.config, self.sources = config, sources or self.sources
 
     # registration
@@ -88,6 +90,10 @@ class Engine:
             rows.write.mode("overwrite").parquet(segment)
             rows = self.spark.read.parquet(segment)
             self.states.append(rows.where("role <> 'stale'").drop("role", "accepted"))
+            # edges that another writer committed while the batch was written
+            missed = st.missed_parents(rows.where("role = 'item'"), rows.where("role <> 'stale'"), self.edge_sets())
+            if not missed.isEmpty():
+                self.mark(missed)
             return rows.where("role <> 'parent'").select("type", "id", "accepted")
         finally:
             batch.unpersist()
@@ -108,7 +114,8 @@ class Engine:
 
         Order: begin; documents of each version; tombstones for what the source no longer has; edge sets; parents that
         built rows name themselves; drift; finish. A row whose versions all have no document goes from the state too,
-        unless only some versions were built or it was marked again meanwhile. Returns type, id, outcome.
+        unless it was marked again meanwhile. Where only some versions were built and none of them has a document, the
+        others were not asked: the row stays, marked for the sweep. Returns type, id, outcome.
         """
         start = self.take()
         seq = start + 1
@@ -133,7 +140,8 @@ class Engine:
             return self.spark.createDataFrame([], "type string, id string, outcome string")
         found = self.spark.read.parquet(*answers)
         if settle:
-            self._settle(found, seq, partial=versions is not None)
+            partial = [t for t, some in (versions or {}).items() if {v.number for v in self.config.resource(t).versions} - set(some)]
+            self._settle(found, seq, partial)
         return found.select("type", "id", F.when(F.col("kept") > 0, "built").otherwise("gone").alias("outcome"))
 
     def _build_type(self, name: str, due: DataFrame, seq: int, path: str, only: list[int] | None) -> None:
@@ -163,6 +171,10 @@ class Engine:
             self.edge_log.append(sets)
             part = due.select("type", "id", "seen").join(kept.select("id", F.lit(1).alias("has")), "id", "left").select("type", "id", "seen", F.coalesce("has", F.lit(0)).alias("has"))
             answers = part if answers is None else answers.unionByName(part)
+        # a version that is configured no more holds nothing any longer
+        old = self.edge_sets().where((F.col("type") == name) & ~F.col("schema_version").isin([v.number for v in resource.versions])).join(due.select("id"), "id", "left_semi")
+        if not old.isEmpty():
+            self.edge_log.append(old.select("type", "id", "schema_version", F.lit(seq).cast("long").alias("build_seq"), "children").withColumn("deleted", F.lit(True)))
         answers.groupBy("type", "id", "seen").agg(F.sum("has").alias("kept")).write.mode("overwrite").parquet(f"{path}/answers/{name}")
         state = self.state()
         links = denorm.parent_links(self.config, self.sources, name, live.select("id"))
@@ -172,14 +184,18 @@ class Engine:
         if not again.isEmpty():
             self.states.append(st.mark(again, state, self.take() + 1, self.clock()))
 
-    def _settle(self, found: DataFrame, seq: int, partial: bool) -> None:
+    def _settle(self, found: DataFrame, seq: int, partial: list[str]) -> None:
         state = self.state()
-        built = found.where(F.lit(partial) | (F.col("kept") > 0)).select("type", "id", "seen", F.lit(seq).cast("long").alias("build_idx"))
+        built = found.where(F.col("kept") > 0).select("type", "id", "seen", F.lit(seq).cast("long").alias("build_idx"))
         self.states.append(st.finish(state, built))
-        if not partial:
-            gone = found.where(F.col("kept") == 0).select("type", "id", "seen")
-            rows = state.join(gone, ["type", "id"]).where(F.coalesce("stale_seq", F.lit(0)) <= F.col("seen")).drop("seen")
-            self.states.append(rows.withColumn("deleted", F.lit(True)))
+        whole = ~F.col("type").isin(partial) if partial else F.lit(True)
+        gone = found.where((F.col("kept") == 0) & whole).select("type", "id", "seen")
+        rows = state.join(gone, ["type", "id"]).where(F.coalesce("stale_seq", F.lit(0)) <= F.col("seen")).drop("seen")
+        self.states.append(rows.withColumn("deleted", F.lit(True)))
+        if partial:
+            left = found.where((F.col("kept") == 0) & ~whole).select("type", "id")
+            if not left.isEmpty():
+                self.mark(left)
 
     def run_until_settled(self, rounds: int = 20) -> int:
         """Builds until nothing is stale; returns the number of rounds."""

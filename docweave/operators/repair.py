@@ -75,7 +75,8 @@ def by_metadata(state: DataFrame) -> DataFrame:
 def rebuild(engine: Engine, resource: str, ids: DataFrame | None = None, versions: list[int] | None = None) -> DataFrame:
     """Builds the given ids, or the source's whole listing and all live rows, of a type.
 
-    With versions named only those are built and no row is settled away; what they leave stale the sweep takes.
+    With versions named only those are built. A row that none of them has a document for stays, marked for the sweep, whose
+    build asks them all.
     """
     listed = ids.select("id") if ids is not None else engine.sources.listing(resource).select("id").unionByName(
         engine.state().where((F.col("type") == resource) & ~F.col("tombstone")).select("id")
@@ -144,6 +145,29 @@ def reconcile(asked: DataFrame, answers: DataFrame) -> DataFrame:
     return asked.select("id").distinct().join(answers, "id", "left").select("id", F.coalesce("outcome", F.lit("err")).alias("outcome"))
 
 
+def walk_outcomes(answers: DataFrame, versions: list[int], may_delete: bool) -> DataFrame:
+    """id, outcome of a walk over the listings of several versions: answers are (id, version, outcome doc or nil).
+
+    `contradicts`: one version listed the row both with and without data. `partial`: the first version's listing omitted
+    it, and an omission is no nil. `incomplete`: another one did. Otherwise `built` with a document of any version, and
+    without one `deleted`, or `left` (marked for the sweep) if the walk asked only some of the versions.
+    """
+    doc, nil = (F.collect_set(F.when(F.col("outcome") == o, F.col("version"))) for o in ("doc", "nil"))
+    seen = answers.groupBy("id").agg(doc.alias("doc"), nil.alias("nil"))
+    every = F.array_union("doc", "nil")
+    outcome = (
+        F.when(F.arrays_overlap("doc", "nil"), "contradicts").when(~F.array_contains(every, versions[0]), "partial").when(F.size(every) < len(versions), "incomplete")
+        .when(F.size("doc") > 0, "built").otherwise("deleted" if may_delete else "left")
+    )
+    return seen.select("id", outcome.alias("outcome"))
+
+
+def first_reports(answers: DataFrame) -> DataFrame:
+    """id, metadata: of what the versions' plans report (id, version, metadata), the first that isn't empty, in order of version."""
+    told = F.coalesce(F.size("metadata") > 0, F.lit(False))
+    return answers.groupBy("id").agg(F.min_by(F.when(told, F.col("metadata")), F.when(told, F.col("version"))).alias("metadata"))
+
+
 def merge_versions(answers: DataFrame) -> DataFrame:
     """id, docs, nils, first_error over the versions' answers (id, version, outcome, error), in order of version."""
     failed = F.when(F.col("outcome") == "err", F.coalesce("error", F.lit("unanswered")))

@@ -133,7 +133,7 @@ class Searcher:
     def _semi_join(self, docs: DataFrame, version: Version, name: str, filters: list[Filter], scope: str) -> DataFrame:
         """Documents whose key is the join key of a child that passes all filters at once; the caller's scope goes along.
 
-        More keys than the ceiling are refused: only then the keys, which are limited before they are counted, are read
+        More children than the ceiling are refused, however few keys they have: that many of them, no more, are counted
         ahead of the search itself, which stays one plan.
         """
         relation = version.relation(name)
@@ -146,7 +146,7 @@ class Searcher:
                 raise InvalidArgument(f"the reference to {name!r} joins on {foreign!r}, which isn't a field of it")
             key = F.col("fields")[foreign].cast("string")
         keys = child.select(key.alias("__key")).where(F.col("__key").isNotNull() & (F.col("__key") != "")).distinct()
-        if keys.limit(self.ceiling + 1).count() > self.ceiling:
+        if child.select("id").limit(self.ceiling + 1).count() > self.ceiling:
             raise InvalidArgument(f"filters on {name!r} match more than {self.ceiling} rows")
         join = relation.join
         if not join.source:

@@ -69,6 +69,14 @@ def fan_out(changed: DataFrame, edges: DataFrame) -> DataFrame:
     return parents.join(changed.select("type", "id").distinct(), ["type", "id"], "left_anti")
 
 
+def missed_parents(accepted: DataFrame, marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """type, id of documents that hold an accepted item by the edges as they are after its commit, and aren't marked yet.
+
+    A build that stored its edges while the batch was written is in neither the batch's fan-out nor its own drift check.
+    """
+    return fan_out(accepted, edges).join(marked.select("type", "id").distinct(), ["type", "id"], "left_anti")
+
+
 def register(batch: DataFrame, state: DataFrame, edges: DataFrame, base: int, last: int, now: float) -> DataFrame:
     """The state rows that a batch of notifications (each resource once) writes, with role and accepted.
 
@@ -150,6 +158,36 @@ def finish(state: DataFrame, built: DataFrame) -> DataFrame:
     return rows.drop("seen", "__b").select(*state.columns)
 
 
+def begin_delete(state: DataFrame, asked: DataFrame, base: int, now: float) -> DataFrame:
+    """The rows of asked (type, id, token, nth) that are still tombstones, with a fresh build_idx, base + 1 + nth; superseded or not.
+
+    A token that still owns its row renews the lease. A row that was made again meanwhile, or is gone, is superseded and
+    stays as it is (a row that is gone comes back with its keys only).
+    """
+    met = asked.join(state, ["type", "id"], "left")
+    alive = F.coalesce("tombstone", F.lit(False))
+    renewed = F.when(alive & (F.col("token") != 0) & (F.col("owner_seq") == F.col("token")), F.lit(now)).otherwise(F.col("owner_since"))
+    rows = met.withColumn("superseded", ~alive).withColumn("build_idx", F.when(alive, F.lit(base) + 1 + F.col("nth")).otherwise(F.col("build_idx"))).withColumn("owner_since", renewed)
+    return rows.select(*state.columns, "superseded")
+
+
+def guarded_delete(state: DataFrame, asked: DataFrame, now: float) -> DataFrame:
+    """What becomes of rows whose documents were deleted, asked being type, id, seen, token: the rows, removed or not.
+
+    A row still marked as it was seen goes. One that was marked again stays for a follow-up: its owner's token is taken
+    anew from the mark, so the same owner builds it next, and its waiting time starts over.
+    """
+    met = state.join(asked.select("type", "id", "seen", "token"), ["type", "id"])
+    removed = F.coalesce(F.col("stale_seq") == F.col("seen"), F.lit(False))
+    again = ~removed & F.col("stale_seq").isNotNull()
+    mine = again & (F.col("token") != 0) & F.coalesce(F.col("owner_seq") == F.col("token"), F.lit(False))
+    rows = met.withColumns({
+        "removed": removed, "follow_up": mine, "owner_seq": F.when(mine, F.col("stale_seq")).otherwise(F.col("owner_seq")), "owner_since": F.when(mine, F.lit(now)).otherwise(F.col("owner_since")),
+        "sweep_attempts": F.when(again, F.lit(0)).otherwise(F.col("sweep_attempts")), "sweep_after": F.when(again, F.lit(None).cast("double")).otherwise(F.col("sweep_after")),
+    })
+    return rows.select(*state.columns, "removed", "follow_up")
+
+
 def drifted(built: DataFrame, state: DataFrame, start: int) -> DataFrame:
     """type, id of built documents (type, id, children) of which a child changed after sequence start."""
     links = built.select("type", "id", F.explode("children").alias("c")).select("type", "id", F.col("c.type").alias("ctype"), F.col("c.id").alias("cid"))

@@ -24,9 +24,11 @@ def typed(rows: DataFrame, field: Field) -> Column:
     kind = SPARK_TYPES[field.type]
     if field.name not in rows.columns:
         return F.lit(None).cast(kind).alias(field.name)
-    have = rows.schema[field.name].dataType
+    have, value = rows.schema[field.name].dataType, F.col(field.name)
+    while isinstance(have, T.ArrayType) and isinstance(have.elementType, T.ArrayType):  # arrays in arrays are one
+        have, value = have.elementType, F.flatten(F.filter(value, lambda x: x.isNotNull()))
     if isinstance(have, T.ArrayType):
-        return F.transform(F.col(field.name), lambda x: x.try_cast(kind)).alias(field.name)
+        return F.transform(value, lambda x: x.try_cast(kind)).alias(field.name)
     return (F.col(field.name) if have == kind else F.col(field.name).try_cast(kind)).alias(field.name)
 
 
@@ -36,9 +38,11 @@ def _key(column: Column) -> Column:
 
 
 def _texts(value: Column, kind: T.DataType) -> Column:
-    """The texts of one value: nothing for null or empty, every element of an array, others as strings."""
-    parts = value if isinstance(kind, T.ArrayType) else F.array(value)
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast(T.ArrayType(T.StringType()))), lambda x: x.cast("string")), lambda x: x.isNotNull() & (x != ""))
+    """The texts of one value: nothing for null or empty, every element of an array (empty strings too), others as strings."""
+    listed = isinstance(kind, T.ArrayType)
+    parts = F.transform(value if listed else F.array(value), lambda x: x.cast("string"))
+    texts = F.filter(parts, lambda x: x.isNotNull() if listed else x.isNotNull() & (x != ""))
+    return F.coalesce(texts, F.array().cast("array<string>"))
 
 
 def _kind(schema: T.StructType, name: str) -> T.DataType:
@@ -49,11 +53,12 @@ def _tier_texts(value: Column, schema: T.StructType, fields: tuple[Field, ...],
     return [_texts(value[f.name], _kind(schema, f.name)) for f in fields if f.search == tier]
 
 
-def _join_relation(docs: DataFrame, relation: Relation, rows: DataFrame, carried: list[str]) -> DataFrame:
+def _join_relation(docs: DataFrame, relation: Relation, rows: DataFrame, carried: list[str], some: bool) -> DataFrame:
     """docs with a column of the relation's rows, and, in __first_<name>, the raw keys of its first row for siblings.
 
     A related row's first is that of the smallest id, then of the smallest fields. The children are grouped by key with
-    the combining done before the join, so each side is shuffled once, by the join key.
+    the combining done before the join, so each side is shuffled once, by the join key. Where only some roots are built,
+    only children of their keys are.
     """
     name, foreign = relation.resource, relation.join.foreign
     picked = [typed(rows, f) for f in relation.fields if f.name != "id"]
@@ -61,9 +66,12 @@ def _join_relation(docs: DataFrame, relation: Relation, rows: DataFrame, carried
     child = rows.where(_key(F.col(foreign)).isNotNull()).select(_key(F.col(foreign)).alias("__key"), F.struct(F.col("id"), *picked).alias("__row"), F.struct(*raw, F.lit(1).alias("__one")).alias("__raw"))
     first = F.min(F.struct("__row", "__raw")).alias("__first")
     every = [F.sort_array(F.collect_list("__row")).alias("__rows")] if relation.many else []
-    grouped = child.groupBy("__key").agg(first, *every)
     source = relation.join.source
     local = F.col(f"__first_{source}")["__raw"][f"__raw_{relation.join.local}"] if source else _key(F.col("__root")[relation.join.local])
+    if some:
+        asked = docs.select(local.alias("__asked")).where("__asked is not null").distinct()
+        child = child.join(asked, child["__key"] == asked["__asked"], "left_semi")
+    grouped = child.groupBy("__key").agg(first, *every)
     joined = docs.withColumn("__local", local).join(grouped, F.col("__local") == F.col("__key"), "left")
     if relation.many:
         empty = F.array().cast(joined.schema["__rows"].dataType)
@@ -94,7 +102,7 @@ def documents(
     docs = rows.select("id", "found", fields.alias("fields"), root.alias("__root"))
     for r in v.denormalized:
         carried = sorted({x.join.local for x in v.denormalized if x.join.source == r.resource})
-        docs = _join_relation(docs, r, sources.listing(r.resource), carried)
+        docs = _join_relation(docs, r, sources.listing(r.resource), carried, ids is not None)
     for b in v.blocks:
         plan = (blocks or {}).get(b.name)
         if plan is not None:

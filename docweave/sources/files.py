@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from docweave.errors import InvalidArgument
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -14,6 +17,16 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share; a temporary one only where the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docweave-")
+    return base.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     _, p, fs = _fs(spark, path)
     return fs.exists(p)

@@ -36,9 +36,12 @@ class Sources:
         self.rows[type_] = read
         return self
 
-    def listing(self, type_: str) -> DataFrame:
+    def check(self, type_: str) -> None:
         if type_ not in self.rows:
             raise UnknownResource(f"no source for {type_!r}")
+
+    def listing(self, type_: str) -> DataFrame:
+        self.check(type_)
         return self.rows[type_]()
 
     def by_ids(self, type_: str, ids: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_chained_join_takes_the_first_row(docs):
 
 
 def test_surfaces(docs):
-    assert docs["1"]["search_primary"] == ["one", "t", "again"]
+    assert docs["1"]["search_primary"] == ["one", "t", "", "again"]
     assert docs["2"]["search_primary"] is None and docs["2"]["search_secondary"] is None
     assert [e["text"] for e in docs["1"]["search_secondary"]] == [["note"], ["x1"], ["x2"]]
     assert all(e["scope"] == [] for e in docs["1"]["search_secondary"])

@@ -121,7 +121,7 @@ def test_reference_ceiling(search):
     limited = Searcher(search.config, search.read, search.empty, ceiling=1)
     with pytest.raises(InvalidArgument):
         ids(limited, filters=(Filter("c.name", "exists"),))
-    assert ids(limited, filters=(Filter("c.name", "eq", "acme"),)) == {"1"}
+    assert ids(limited, filters=(Filter("c.name", "eq", "acme"),)) == {"1"}  # one child
 
 
 def test_order_pages_and_totals(search):
