@@ -19,6 +19,8 @@ SAMPLE, SAMPLE_BYTES = 800, 8 << 20
 HIDDEN = 8
 #: Bytes the network reads in one go, whatever words they belong to.
 SPAN = 32
+#: Parts of a language's documents that are numbered apart when the sample is drawn.
+SALTS = 64
 EPOCHS, BATCH, RATE = 3, 512, 0.012
 SEED = 7
 BLOCK = 2 << 20
@@ -240,7 +242,9 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, held_out: int = 2, fold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where((fold(folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     keys = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
-    keys = keys.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("turn") <= sample)
+    # a language that most documents are of is cut down in parts before one task sees it
+    for parts in ([F.pmod("h", F.lit(SALTS))], []):
+        keys = keys.withColumn("turn", F.row_number().over(Window.partitionBy("lang", *parts).orderBy("h", "doc_id"))).where(F.col("turn") <= sample)
     keys = keys.orderBy("turn", "h", "doc_id").limit(sample).select("doc_id", "turn", "h")
     # a line for each of at most `sample` documents: its size is bounded
     met = rows.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "turn", "h").agg(F.min(F.struct("lang", "text")).alias("r"))
