@@ -62,7 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs).select(row_key().alias("__id"), named, F.col("size").alias("__size"), times.alias("times"))
     taken = written(taken.groupBy(*key).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("__n")).where("times > 0"), "stage-times")
     rows = docs.select(*COLUMNS, row_key().alias("__id"), named, word_count(F.col("text")).alias("__size"))
-    single = rows.join(taken.where("__n = 1"), key).select(*COLUMNS, F.col("times").cast("int").alias("times"))
+    # joined in one way at every size: what a corpus takes is no broadcast
+    single = rows.join(taken.where("__n = 1").hint("merge"), key).select(*COLUMNS, F.col("times").cast("int").alias("times"))
     # rows of one id, source and length are alike to the mix: they share its times, the first of them the odd ones
     several = rows.join(taken.where("__n > 1"), key).withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
     share = F.expr("times div __n + if(__nth <= times % __n, 1, 0)").cast("int").alias("times")
