@@ -326,6 +326,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
 
 
 def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored AVI and read back: sizes, digests, frames and clips."""
     out = store_media(table(spark, sf_dir, "documents"))
     shots = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string"))), ",")
     feature = F.format_string("frames=%d mean=%.6f clips_ms=%s", "frames", "levels", shots)

@@ -361,7 +361,7 @@ def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def piece_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """round_trip() in numbers and digests."""
+    """Per row of docs what round_trip() gives, in numbers and digests instead of pieces and texts; odd rows are as there."""
     out = round_trip(docs, pieces)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.xxhash64("ids").alias("ids_hash"),

@@ -101,5 +101,6 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, near equal in bytes, equal texts together, and its slot there."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

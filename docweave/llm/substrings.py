@@ -1,4 +1,7 @@
-"""Operator 9: exact removal of repeated 100-byte strings by bucket refinement over sampled suffixes."""
+"""Operator 9: removal of repeated 100-byte strings by bucket refinement over sampled suffixes.
+
+Strings are told apart by hashes, of 128 bits within copies and of 64 bits and the bytes around at their edges.
+"""
 
 from __future__ import annotations
 
@@ -375,5 +378,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 
 def op9_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes before and after repeated strings go, and a digest of what stays."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
