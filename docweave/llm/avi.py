@@ -208,33 +208,52 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+def _leaves(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """The chunks of a movi list, those inside its rec lists too."""
+    for name, a, size in _chunks(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _chunks(data, a + 4, a + size)
+        else:
+            yield name, a, size
+
+
+def _frame_names(data: bytes, at: int, end: int) -> tuple[bytes, bytes]:
+    """The names of the chunks of the first video stream among the headers."""
+    streams = [(a, s) for n, a, s in _chunks(data, at, end) if n == b"LIST" and data[a : a + 4] == b"strl"]
+    for i, (a, size) in enumerate(streams):
+        if any(n == b"strh" and data[h : h + 4] == b"vids" for n, h, _ in _chunks(data, a + 4, a + size)):
+            return b"%02ddc" % i, b"%02ddb" % i
+    raise ValueError("there is no video stream")
+
+
 def parse_avi(data: bytes) -> Movie:
-    """Headers and the frames that the index names, or, without an index, those found in the movi list."""
+    """Headers and the first video stream's frames: those that the index names or, without one, those in the movi list.
+
+    An index may count from the list's type, as here, or from the file's start; which of the two, its first frame tells.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    avih, movi, index = None, None, None
+    avih, movi, index, names = None, None, None, ()
     for name, at, size in _chunks(data, 12, len(data)):
         kind = data[at : at + 4]
         if name == b"LIST" and kind == b"hdrl":
-            avih = next(struct.unpack_from("<14I", data, a) for n, a, _ in _chunks(data, at + 4, at + size) if n == b"avih")
+            avih = next((struct.unpack_from("<14I", data, a) for n, a, _ in _chunks(data, at + 4, at + size) if n == b"avih"), None)
+            names = _frame_names(data, at + 4, at + size)
         elif name == b"LIST" and kind == b"movi":
             movi = at, size
         elif name == b"idx1":
             index = at, size
     if avih is None or movi is None:
         raise ValueError("headers or frames are missing")
-    frames = []
-    if index:
-        for i in range(index[0], index[0] + index[1], 16):
-            name, _, offset, size = struct.unpack_from("<4sIII", data, i)
-            at = movi[0] + offset
-            if data[at : at + 4] != name or struct.unpack_from("<I", data, at + 4)[0] != size:
-                raise ValueError("the index doesn't match the frames")
-            if name[2:] in (b"dc", b"db"):
-                frames.append(data[at + 8 : at + 8 + size])
-    else:
-        frames = [data[a : a + s] for n, a, s in _chunks(data, movi[0] + 4, movi[0] + movi[1]) if n[2:] in (b"dc", b"db")]
-    return Movie(avih[8], avih[9], avih[0], frames)
+    if not index:
+        frames = [data[a : a + s] for n, a, s in _leaves(data, movi[0] + 4, movi[0] + movi[1]) if n in names]
+        return Movie(avih[8], avih[9], avih[0], frames)
+    entries = [e for e in struct.iter_unpack("<4sIII", data[index[0] : index[0] + index[1] // 16 * 16]) if e[0] in names]
+    there = lambda at, name, size: data[at : at + 8] == name + struct.pack("<I", size)
+    base = next((b for b in (movi[0], 0) for name, _, offset, size in entries[:1] if there(b + offset, name, size)), movi[0])
+    if not all(there(base + offset, name, size) for name, _, offset, size in entries):
+        raise ValueError("the index doesn't match the frames")
+    return Movie(avih[8], avih[9], avih[0], [data[base + o + 8 : base + o + 8 + s] for _, _, o, s in entries])
 
 
 def cuts(frames: list[np.ndarray], bins: int = BINS, window: int = WINDOW, above: float = ABOVE, least: float = LEAST) -> list[int]:

@@ -50,6 +50,35 @@ def test_without_an_index_and_with_a_wrong_one():
         avi.parse_avi(b"RIFF0000WAVE")
 
 
+def _movie(parts, absolute=False, indexed=True):
+    """An AVI file of a sound stream and a video stream; parts: (name, body) chunks, a list of them being a rec list."""
+    avih = struct.pack("<14I", 40_000, 0, 0, 0x10, 2, 0, 2, 0, 64, 64, 0, 0, 0, 0)
+    streams = b"".join(avi._list(b"strl", avi._chunk(b"strh", kind + bytes(52))) for kind in (b"auds", b"vids"))
+    head = avi._list(b"hdrl", avi._chunk(b"avih", avih) + streams)
+    movi, index, begin = b"", [], 12 + len(head) + 8
+    for part in parts:
+        inner = part if isinstance(part, list) else [part]
+        at = len(movi) + 4 + (12 if isinstance(part, list) else 0)
+        if isinstance(part, list):
+            index.append(struct.pack("<4sIII", b"rec ", 1, at - 12 + begin * absolute, 0))
+        for name, body in inner:
+            index.append(struct.pack("<4sIII", name, 0x10, at + begin * absolute, len(body)))
+            at += len(avi._chunk(name, body))
+        held = b"".join(avi._chunk(*x) for x in inner)
+        movi += avi._list(b"rec ", held) if isinstance(part, list) else held
+    body = b"AVI " + head + avi._list(b"movi", movi) + (avi._chunk(b"idx1", b"".join(index)) if indexed else b"")
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+@pytest.mark.parametrize("absolute, indexed", [(False, True), (True, True), (False, False)])
+def test_indexes_of_both_kinds_rec_lists_and_streams(absolute, indexed):
+    shots = [np.random.default_rng(i).integers(0, 256, (64, 64)).astype(np.uint8) for i in range(3)]
+    coded = [avi.encode_frame(x) for x in shots]
+    parts = [(b"00wb", b"sound"), (b"01dc", coded[0]), [(b"00wb", b"more"), (b"01dc", coded[1])], (b"01db", coded[2]), (b"00dc", b"no frame of the video stream")]
+    movie = avi.parse_avi(_movie(parts, absolute, indexed))
+    assert all((avi.decode_frame(x) == y).all() for x, y in zip(movie.frames, shots)) and len(movie.frames) == 3
+
+
 def test_shots():
     rng = np.random.default_rng(0)
     dark, light = (lambda: rng.integers(0, 60, (64, 64)).astype(np.uint8)), (lambda: rng.integers(150, 256, (64, 64)).astype(np.uint8))
