@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from docweave.errors import InvalidArgument
 from docweave.sources import files
 
+#: Segments of one level that an append folds into one of the next.
+FAN = 8
+
 
 @dataclass
 class Log:
@@ -21,7 +24,9 @@ class Log:
 
     Every append gets the next write order. The latest view keeps, for each key, the row of the highest `rank` columns,
     of equal ones the last written; a row with deleted = true hides its key. Grouping combines before it shuffles, so a
-    key written very often is no bottleneck. A reader holds a list of segments, so compaction doesn't disturb it.
+    key written very often is no bottleneck. The last FAN segments of one level become one of the next as soon as there
+    are so many, so n appends leave some FAN * log n segments and write each row log n times. A reader holds a list of
+    segments, so compaction doesn't disturb it.
     """
 
     spark: SparkSession
@@ -41,9 +46,28 @@ class Log:
         rows = rows.withColumn("write_ord", F.lit(order).cast("long"))
         segment = f"segment-{order:012d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{segment}")
-        files.write_json(self.spark, f"{self.path}/manifest.json", {"segments": [*held["segments"], segment], "next": order + 1, "schema": rows.schema.json()})
+        levels = [*held.get("levels", [0] * len(held["segments"])), 0]
+        self._list({"segments": [*held["segments"], segment], "levels": levels, "next": order + 1, "schema": rows.schema.json()})
+        while len(levels) >= FAN and levels[-FAN] == levels[-1]:
+            levels = self._fold(FAN)
         return order
 
+    def _list(self, manifest: dict) -> None:
+        files.write_json(self.spark, f"{self.path}/manifest.json", manifest)
+
+    def _fold(self, n: int, keep_deleted: bool = True) -> list[int]:
+        """Replaces the last n segments by one of the next level with their latest rows; returns the levels then."""
+        held = self.manifest()
+        levels = held.get("levels", [0] * len(held["segments"]))
+        folded = latest(self.rows(held["segments"][-n:]), self.keys, self.rank, True, write_order=True)
+        if not keep_deleted:
+            folded = folded.where(~F.col("deleted"))
+        segment = f"segment-{held['next']:012d}-{uuid.uuid4().hex}"
+        folded.write.parquet(f"{self.path}/{segment}")
+        levels = [*levels[:-n], max(levels[-n:]) + 1]
+        self._list({**held, "segments": [*held["segments"][:-n], segment], "levels": levels, "next": held["next"] + 1})
+        return levels
+
     def rows(self, segments: list[str] | None = None) -> DataFrame | None:
         """All rows of the segments (by default those of the manifest), None if nothing was ever written."""
         held = self.manifest()
@@ -61,16 +85,9 @@ class Log:
 
     def compact(self, keep_deleted: bool = True) -> None:
         """Replaces all segments by one with the latest rows. Tombstones stay, or a late older write would be seen again."""
-        held = self.manifest()
-        rows = self.rows(held["segments"])
-        if rows is None or len(held["segments"]) < 2:
-            return
-        folded = latest(rows, self.keys, self.rank, True, write_order=True)
-        if not keep_deleted:
-            folded = folded.where(~F.col("deleted"))
-        segment = f"segment-{held['next']:012d}-{uuid.uuid4().hex}"
-        folded.write.parquet(f"{self.path}/{segment}")
-        files.write_json(self.spark, f"{self.path}/manifest.json", {**held, "segments": [segment], "next": held["next"] + 1})
+        n = len(self.manifest()["segments"])
+        if n > 1:
+            self._fold(n, keep_deleted)
 
 
 def latest(rows: DataFrame, keys: tuple[str, ...], rank: tuple[str, ...] = (), deleted: bool = False, write_order: bool = False) -> DataFrame:

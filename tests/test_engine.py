@@ -257,6 +257,23 @@ def test_log_folds_and_pins(spark, tmp_path):
     assert {r["k"]: r["v"] for r in log.latest(pinned).collect()} == {"a": "x", "b": "y"}
 
 
+def test_a_log_folds_its_segments_by_level(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/levels", ("k",), ("rank",))
+    want, counts = {}, []
+    for i in range(18):
+        rows = [(f"k{i % 5}", i % 7, f"v{i}", i % 6 == 5), ("same", 1, f"v{i}", False)]
+        log.append(spark.createDataFrame(rows, "k string, rank long, v string, deleted boolean"))
+        counts.append(len(log.manifest()["segments"]))
+        for k, rank, v, gone in rows:
+            if k not in want or rank >= want[k][0]:
+                want[k] = (rank, v, gone)
+        if i == 8:
+            pinned, then = log.manifest()["segments"], {k: v for k, (_, v, gone) in want.items() if not gone}
+    assert counts == [1, 2, 3, 4, 5, 6, 7, 1, 2, 3, 4, 5, 6, 7, 8, 2, 3, 4] and log.manifest()["levels"] == [1, 1, 0, 0]
+    assert {r["k"]: r["v"] for r in log.latest().collect()} == {k: v for k, (_, v, gone) in want.items() if not gone}
+    assert {r["k"]: r["v"] for r in log.latest(pinned).collect()} == then
+
+
 def test_reconciliation(spark):
     asked = spark.createDataFrame([("a",), ("b",)], "id string")
     answer = lambda *rows: spark.createDataFrame(list(rows), "id string, outcome string")
