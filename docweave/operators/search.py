@@ -14,10 +14,9 @@ from docweave.errors import InvalidArgument
 from docweave.functions import predicates, text
 from docweave.functions.predicates import Filter
 
-#: Results that paging can reach, page sizes, and the most keys a reference may bring.
+#: Results that paging can reach, and page sizes.
 WINDOW = 10_000
 PAGE_SIZE, PAGE_CAP = 25, 100
-REFERENCE_CEILING = 10_000
 
 
 @dataclass(frozen=True)
@@ -63,14 +62,15 @@ class SearchResult:
 class Searcher:
     """Searches over the documents that `read` gives for a type: those of its read version, behind its alias.
 
-    read returns None where no index is behind the alias yet; then the result is empty.
+    read returns None where no index is behind the alias yet; then the result is empty. A ceiling is for callers who want
+    references refused that match more children; without one, any number of them is joined.
     """
 
     config: Config
     read: Callable[[str], DataFrame | None]
     empty: Callable[[str], DataFrame]
     middlewares: tuple[Middleware, ...] = ()
-    ceiling: int = REFERENCE_CEILING
+    ceiling: int | None = None
     versions: dict[str, int] = field(default_factory=dict)  #: pinned by a scan
 
     def version(self, resource: str) -> Version:
@@ -133,8 +133,8 @@ class Searcher:
     def _semi_join(self, docs: DataFrame, version: Version, name: str, filters: list[Filter], scope: str) -> DataFrame:
         """Documents whose key is the join key of a child that passes all filters at once; the caller's scope goes along.
 
-        More children than the ceiling are refused, however few keys they have: that many of them, no more, are counted
-        ahead of the search itself, which stays one plan.
+        All children take part, in one plan. Only where the searcher has a ceiling are they counted ahead of it, and more
+        of them than that refused, however few keys they have.
         """
         relation = version.relation(name)
         child = self.filtered(name, filters, scope)
@@ -146,7 +146,7 @@ class Searcher:
                 raise InvalidArgument(f"the reference to {name!r} joins on {foreign!r}, which isn't a field of it")
             key = F.col("fields")[foreign].cast("string")
         keys = child.select(key.alias("__key")).where(F.col("__key").isNotNull() & (F.col("__key") != "")).distinct()
-        if child.select("id").limit(self.ceiling + 1).count() > self.ceiling:
+        if self.ceiling is not None and child.count() > self.ceiling:
             raise InvalidArgument(f"filters on {name!r} match more than {self.ceiling} rows")
         join = relation.join
         if not join.source:
