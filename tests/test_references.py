@@ -54,3 +54,7 @@ def ids(search, resource, *filters):
 
 def test_all_children_of_a_reference_by_a_sibling(search):
     assert ids(search, "line", Filter("customer.segment", "eq", "BUILDING")) == sorted(f"{i}-1" for i in range(0, CHILDREN, 100))
+
+
+def test_all_children_of_a_reference_by_id(search):
+    assert ids(search, "order", Filter("customer.segment", "eq", "BUILDING")) == sorted(str(i) for i in range(0, CHILDREN, 100))
