@@ -58,3 +58,7 @@ def test_all_children_of_a_reference_by_a_sibling(search):
 
 def test_all_children_of_a_reference_by_id(search):
     assert ids(search, "order", Filter("customer.segment", "eq", "BUILDING")) == sorted(str(i) for i in range(0, CHILDREN, 100))
+
+
+def test_all_children_of_a_reference_by_a_field(search):
+    assert ids(search, "order", Filter("label.toxic", "eq", "1")) == sorted(str(i) for i in range(0, CHILDREN, 100))
