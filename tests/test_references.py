@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.config import load
+from docweave.errors import InvalidArgument
 from docweave.functions.predicates import Filter
 from docweave.operators.search import Searcher, SearchRequest
 from docweave.plans.denorm import documents
@@ -62,3 +63,15 @@ def test_all_children_of_a_reference_by_id(search):
 
 def test_all_children_of_a_reference_by_a_field(search):
     assert ids(search, "order", Filter("label.toxic", "eq", "1")) == sorted(str(i) for i in range(0, CHILDREN, 100))
+
+
+def test_only_a_ceiling_that_was_asked_for_refuses(search):
+    """No ceiling is set where none was given; one counts all children that match, not a part of them."""
+    assert search.ceiling is None
+    for ceiling, refused in ((CHILDREN - 1, True), (CHILDREN, False)):
+        limited = Searcher(search.config, search.read, search.empty, ceiling=ceiling)
+        if refused:
+            with pytest.raises(InvalidArgument):
+                ids(limited, "order", Filter("customer.segment", "eq", "BUILDING"))
+        else:
+            assert len(ids(limited, "order", Filter("customer.segment", "eq", "BUILDING"))) == CHILDREN // 100
