@@ -621,7 +621,7 @@ def c_version_gate(spark, sf_dir):
 @query("c_tombstone", f"WITH g AS ({_GATE_SQL}) SELECT id, arg_max(stored, ord) AS version, arg_max(stored, ord) = 0 AS tombstone FROM g GROUP BY id")
 def c_tombstone(spark, sf_dir):
     gated = st.gate(notifications(spark, sf_dir))
-    return gated.groupBy("id").agg(F.max_by("stored", "ord").alias("version")).withColumn("tombstone", F.col("version") == 0)
+    return gated.groupBy("id").agg(F.max_by("stored", F.struct(*st.arrival())).alias("version")).withColumn("tombstone", F.col("version") == 0)
 
 
 def _edges(spark, sf_dir, version: int = 1) -> DataFrame:

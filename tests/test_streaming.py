@@ -65,3 +65,18 @@ def test_stream_and_batch_lead_to_the_same_documents(spark, tmp_path):
     found = [sorted((r["id"], r["fields"]["name"], len(r["b"])) for r in e.store.documents("a", 1).collect()) for e in engines]
     assert found[0] == found[1] == [("1", "one", 2)]
     assert all(e.state().where("stale_seq is not null").isEmpty() for e in engines)
+
+
+def tied_rows(n: int = 400):
+    """Notifications of which several of a resource share an ord; a sorted list is the order of arrival."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["created", "updated", "deleted"]), "a", str(rng.randint(1, 4)), {}, rng.randint(1, 9), rng.randint(0, 40)) for _ in range(n)]
+    return sorted(rows, key=lambda r: (r[5], r[4], r[0])), rows
+
+
+def test_gate_in_batch_breaks_ties(spark):
+    arrival, rows = tied_rows()
+    want = sorted(fold(arrival)[0])
+    for asked in (rows, arrival[::-1]):
+        log = spark.createDataFrame(asked, st.NOTIFICATION)
+        assert sorted((r["id"], r["ord"], r["accepted"], r["stored"]) for r in st.gate(log).collect()) == want
