@@ -80,3 +80,18 @@ def test_gate_in_batch_breaks_ties(spark):
     for asked in (rows, arrival[::-1]):
         log = spark.createDataFrame(asked, st.NOTIFICATION)
         assert sorted((r["id"], r["ord"], r["accepted"], r["stored"]) for r in st.gate(log).collect()) == want
+
+
+def test_gate_over_a_stream_breaks_ties(spark, tmp_path):
+    arrival, rows = tied_rows()
+    spark.createDataFrame(rows[::-1], st.NOTIFICATION).repartition(3).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(st.NOTIFICATION).parquet(f"file://{tmp_path}/in")
+    query = gate_stream(stream).writeStream.format("memory").queryName("tied").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+    query.awaitTermination(120)
+    assert sorted((r["id"], r["ord"], r["accepted"], r["stored"]) for r in spark.table("tied").collect()) == sorted(fold(arrival)[0])
+
+
+def test_turns_of_a_batch_break_ties(spark):
+    arrival, rows = tied_rows(60)
+    turns = [[tuple(x) for x in part.select("kind", "type", "id", "metadata", "version", "ord").collect()] for part in one_per_resource(spark.createDataFrame(rows[::-1], st.NOTIFICATION))]
+    assert fold([r for turn in turns for r in turn])[1] == fold(arrival)[1]
