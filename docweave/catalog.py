@@ -1011,13 +1011,16 @@ def e_scan(spark, sf_dir):
     engine = _engine(spark, sf_dir, ("part",))
     scanner = Scanner(engine.searcher(), engine.store, clock=lambda: 0.0)
     request = SearchRequest("part", filters=(Filter("fields.size", "gt", "40"),), sort=(Sort("fields.size", True), Sort("fields.brand")), page_size=max(200, parquet_tables(spark, sf_dir)("part").count() // 8))
-    ids, token = [], ""
+    ids, token, pos, kind, out = [], "", 0, "pos long, id string", f"{engine.root}/scanned"
     while True:
         page = scanner.page(SearchRequest(**{**request.__dict__, "page_token": token}))
         ids += [r["id"] for r in page.hits.collect()]  # what a client does: page by page
         token = page.next_token
+        if not token or len(ids) >= 100_000:  # it keeps no more of them in memory
+            spark.createDataFrame([(pos + i + 1, x) for i, x in enumerate(ids)], kind).write.mode("append").parquet(out)
+            pos, ids = pos + len(ids), []
         if not token:
-            return spark.createDataFrame([(i + 1, x) for i, x in enumerate(ids)], "pos long, id string")
+            return spark.read.schema(kind).parquet(out)
 
 
 @query("e_readiness", _values_sql("gate, ok", [("alias-state", True), ("target-index", True), ("coverage", True), ("doc-gap", True), ("stale-backlog", True)]))
