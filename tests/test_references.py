@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from docweave import catalog
 from docweave.config import load
 from docweave.errors import InvalidArgument
 from docweave.functions.predicates import Filter
@@ -75,3 +78,39 @@ def test_only_a_ceiling_that_was_asked_for_refuses(search):
                 ids(limited, "order", Filter("customer.segment", "eq", "BUILDING"))
         else:
             assert len(ids(limited, "order", Filter("customer.segment", "eq", "BUILDING"))) == CHILDREN // 100
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """The smallest sample tables, but with 15,000 customers and 12,000 labels, most of which match."""
+    if not os.path.isdir(SF):
+        pytest.skip("the sample tables aren't here")
+    base = str(tmp_path_factory.mktemp("many"))
+    read, key = lambda t: spark.read.parquet(f"{SF}/{t}.parquet"), F.col("c_custkey")
+    customer = read("customer").crossJoin(spark.range(100)).withColumn("c_custkey", key + F.col("id") * 1000).drop("id")
+    tables = {t: read(t) for t in ("region", "nation", "documents")}
+    tables["customer"] = customer.withColumns({"c_mktsegment": F.when(key % 7 > 0, "BUILDING").otherwise("OTHER"), "c_acctbal": F.when(key % 11 > 0, 6000.0).otherwise(5000.0)})
+    tables["orders"] = read("orders").withColumn("o_custkey", F.col("o_custkey") + F.col("o_orderkey") % 100 * 1000)
+    tables["labels"] = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 12 > 0).cast("int").alias("toxic"))
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{base}/{name}.parquet")
+    return base
+
+
+def check_query(spark, base, name, children):
+    """A registered query against its SQL, where so many children match that the old ceiling refused them."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in os.listdir(base):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{base}/{t}/*.parquet'")
+    assert con.execute(f"SELECT count(*) FROM {children}").fetchall()[0][0] > 10_000
+    wanted = sorted(r[0] for r in con.execute(catalog.ORACLES[name]).fetchall())
+    assert wanted and sorted(r["id"] for r in catalog.QUERIES[name](spark, base).collect()) == wanted
+
+
+def test_the_query_by_id_equals_its_sql(spark, many):
+    check_query(spark, many, "j_reference", "customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
