@@ -114,3 +114,7 @@ def check_query(spark, base, name, children):
 
 def test_the_query_by_id_equals_its_sql(spark, many):
     check_query(spark, many, "j_reference", "customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
+
+
+def test_the_query_by_a_field_equals_its_sql(spark, many):
+    check_query(spark, many, "j_reference_label", "labels WHERE toxic = 1")
