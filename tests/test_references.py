@@ -118,3 +118,15 @@ def test_the_query_by_id_equals_its_sql(spark, many):
 
 def test_the_query_by_a_field_equals_its_sql(spark, many):
     check_query(spark, many, "j_reference_label", "labels WHERE toxic = 1")
+
+
+def test_no_registered_search_has_a_ceiling_but_the_one_about_refusals(spark, many, monkeypatch):
+    """What queries search with, as they are run: only j_reference_ceiling sets a ceiling, and only on its own searcher."""
+    made = []
+    plain = catalog.searcher
+    monkeypatch.setattr(catalog, "searcher", lambda *a: made.append(plain(*a)) or made[-1])
+    for name in ("j_reference", "j_reference_empty", "j_reference_label"):
+        catalog.QUERIES[name](spark, many)
+    assert [s.ceiling for s in made] == [None] * 3
+    catalog.QUERIES["j_reference_ceiling"](spark, many)
+    assert [s.ceiling for s in made[3:]] == [290] and catalog.searcher(spark, many).ceiling is None
